@@ -75,20 +75,20 @@ def binary_column(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, type=pa.binary())
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int) -> tuple[list[str], np.ndarray, float]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_out: Column, most: tuple[int, int]) -> tuple[list[str], np.ndarray, float]:
     """(texts, 0/1 labels, share of label 1 among all learnable labels).
 
-    At most per_class rows of each class, the lowest by a hash of the id, so the driver holds a bounded
-    number of rows. The share of label 1 covers all learnable rows. Repeated labels: the largest counts.
+    At most most[y] rows with label y, the lowest by a hash of the id, so the driver holds a bounded number
+    of rows. The share of label 1 covers all learnable rows. Repeated labels: the largest counts.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     lab = lab.where(~held_out & F.col("y").isin(0, 1))
     shares = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        one = lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        one = lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         picked = one if picked is None else picked.unionByName(one)
-    # at most 2 * per_class narrow rows, so the broadcast is bounded
+    # at most sum(most) narrow rows, so the broadcast is bounded
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     total = sum(shares.values())

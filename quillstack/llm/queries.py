@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.llm.langid import op9_lang_viterbi
+from quillstack.llm.media import op6_iso_media
 from quillstack.llm.tokens import op2_token_dac
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_dac": op2_token_dac,
+    "op6_iso_media": op6_iso_media,
+    "op9_lang_viterbi": op9_lang_viterbi,
 }
 
 ORACLES: dict[str, str] = {}
