@@ -165,9 +165,9 @@ def label(docs: DataFrame, model: LanguageModel, switch: float = 12.0) -> DataFr
     def rows(batch) -> dict:
         out: dict = {"lang_pred": [], "score": [], "spans": []}
         texts, at = batch.column("text").to_pylist(), 0
-        while at < len(texts):  # about a million characters together
+        while at < len(texts):  # a quarter of a million characters together
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 1_000_000):
+            while end < len(texts) and (end == at or size < 250_000):
                 size += len(texts[end] or "")
                 end += 1
             some(texts[at:end], out)

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.llm.decontam import op4_tiling_decontam
 from quillstack.llm.langid import op9_lang_viterbi
 from quillstack.llm.media import op6_iso_media
+from quillstack.llm.mixing import op7_mixture_tree
+from quillstack.llm.quality import op5_quality_knn
 from quillstack.llm.tokens import op2_token_dac
+from quillstack.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_dac": op2_token_dac,
+    "op3_toxicity": op3_toxicity,
+    "op4_tiling_decontam": op4_tiling_decontam,
+    "op5_quality_knn": op5_quality_knn,
     "op6_iso_media": op6_iso_media,
+    "op7_mixture_tree": op7_mixture_tree,
     "op9_lang_viterbi": op9_lang_viterbi,
 }
 
