@@ -22,7 +22,8 @@ from quillstack.llm.common import arrow_map, fold, labelled_sample, read
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-#: So many words of value nought join each text's mean, so a few words alone can't be read as strongly as a long text.
+#: So many empty words, with a learned vector like any other, join each text's mean: a few words alone can't be read as
+#: strongly as a long text, and a text without words is read as nothing but them.
 CALM = 30
 
 
@@ -64,29 +65,32 @@ class ToxicityModel:
         return np.add.reduceat(self.by_bucket[ids], np.cumsum(n) - n) / n if len(words) else np.zeros(0)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.03, least: int = 6, seed: int = 7) -> ToxicityModel:
-    """Adam on the log loss over mini-batches, vectors and outputs together. The bias is moved to the prior of label 1.
+def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 600, batch: int = 128, rate: float = 0.03, seed: int = 7) -> ToxicityModel:
+    """Adam on the log loss over mini-batches, vectors and outputs together, for about `steps` batches.
 
-    Words of fewer than `least` training texts are left out of its mean; vectors start near zero, so n-grams never met stay neutral.
+    The bias stays at the odds of the classes. Words of fewer than a thousandth
+    of the texts (two at least) are left out of the means; vectors start near zero, so n-grams never met stay neutral.
     """
     rng = np.random.default_rng(seed)
-    vocab: dict[str, int] = {}
+    vocab: dict[str, int] = {"": 0}
     docs = []
     for text in texts:
         at, n = np.unique(np.fromiter((vocab.setdefault(w, len(vocab)) for w in WORD.findall(text.lower())), dtype=np.int64), return_counts=True)
         n = np.sqrt(n)
-        docs.append((at, n / (n.sum() + CALM)))
+        docs.append((np.append(at, 0), np.append(n, CALM) / (n.sum() + CALM)))
     met = np.bincount(np.concatenate([a for a, _ in docs]), minlength=len(vocab)) if vocab else np.zeros(0, int)
+    least = max(2, len(texts) // 1000)
     docs = [(a[met[a] >= least], w[met[a] >= least]) for a, w in docs]
     ids, size = subwords(list(vocab))
     begin = np.cumsum(size) - size
     table = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32)
     out = np.zeros((2, dim), dtype=np.float32)
     out[1] = rng.normal(0, 1, dim)
-    bias = np.zeros(2, dtype=np.float32)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out, bias)]
+    share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6))
+    bias = np.array([0.0, np.log(share / (1 - share))], dtype=np.float32)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out)]
     step = 0
-    for _ in range(epochs if len(set(labels.tolist())) > 1 else 0):
+    for _ in range(-(-steps * batch // len(docs)) if len(set(labels.tolist())) > 1 else 0):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
@@ -113,22 +117,20 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epoc
                 by_word = np.bincount(back, weights=weight * toward[doc, k], minlength=len(own)) / np.maximum(n, 1)
                 slope[:, k] = np.bincount(grams, weights=by_word[each], minlength=BUCKETS)
             step += 1
-            for q, g, (m, v) in zip((table, out, bias), (slope, p.T @ mean, p.sum(axis=0)), state, strict=True):
+            for q, g, (m, v) in zip((table, out), (slope, p.T @ mean), state, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6))
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return ToxicityModel((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0] + shift))
+    return ToxicityModel((table @ (out[1] - out[0])).astype(np.float32), float(np.log(prior / (1 - prior))))
 
 
 def text_values(model: ToxicityModel, texts: list[str]) -> np.ndarray:
     """The logits of texts, without the workers' memo."""
-    out = np.zeros(len(texts))
+    out, calm = np.zeros(len(texts)), float(model.word_values([""])[0])
     for i, text in enumerate(texts):
         counts = Counter(WORD.findall(text.lower()))
         n = np.sqrt(np.array(list(counts.values()), dtype=np.float64))
-        out[i] = (model.word_values(list(counts)) * n).sum() / (n.sum() + CALM)
+        out[i] = ((model.word_values(list(counts)) * n).sum() + CALM * calm) / (n.sum() + CALM)
     return out + model.bias
 
 
@@ -146,15 +148,18 @@ def calibrate(model: ToxicityModel, texts: list[str], labels: np.ndarray, prior:
     return ToxicityModel(model.by_bucket, float(model.bias - cut))
 
 
+def fit_texts(texts: list[str], y: np.ndarray, prior: float, **how) -> ToxicityModel:
+    unseen = np.arange(len(texts)) % 5 == 0
+    pick = lambda mask: ([t for t, m in zip(texts, mask, strict=True) if m], y[mask])
+    return calibrate(train(*pick(~unseen), prior, **how), *pick(unseen), prior)
+
+
 def fit(documents: DataFrame, labels: DataFrame, held_out: Column, most: tuple[int, int] = (4500, 1500), **how) -> ToxicityModel:
     """Trains on at most most[y] rows with label y (a bounded sample by a hash of the id); the prior covers all learnable labels.
 
     A fifth of the sample is kept from the training to place the bias.
     """
-    texts, y, prior = labelled_sample(documents, labels, "toxic", held_out, most)
-    unseen = np.arange(len(texts)) % 5 == 0
-    pick = lambda mask: ([t for t, m in zip(texts, mask, strict=True) if m], y[mask])
-    return calibrate(train(*pick(~unseen), prior, **how), *pick(unseen), prior)
+    return fit_texts(*labelled_sample(documents, labels, "toxic", held_out, most), **how)
 
 
 class _Values(dict):
@@ -167,7 +172,7 @@ _memo: dict[str, object] = {}
 
 
 def score(docs: DataFrame, model: ToxicityModel, max_words: int = 500_000) -> DataFrame:
-    """docs with `score`, the softmax's share for label 1 over the whole text. A text that is null or has no word gets the prior.
+    """docs with `score`, the softmax's share for label 1 over the whole text. A text that is null or has no word is read as empty words alone.
 
     Workers keep the values of the words they have met (emptied at max_words).
     """
@@ -180,7 +185,7 @@ def score(docs: DataFrame, model: ToxicityModel, max_words: int = 500_000) -> Da
         if _memo.get("key") != key or len(_memo["words"]) > max_words:
             _memo.clear()
             _memo.update(key=key, words=_Values(), values=np.zeros(0, np.float32))
-        words, out = _memo["words"], np.zeros(batch.num_rows)
+        words, out, calm = _memo["words"], np.zeros(batch.num_rows), float(m.word_values([""])[0])
         for i in range(0, batch.num_rows, 256):
             texts = batch.column("text").slice(i, 256).to_pylist()
             at = [np.fromiter(map(words.__getitem__, WORD.findall((t or "").lower())), dtype=np.int64) for t in texts]
@@ -189,7 +194,7 @@ def score(docs: DataFrame, model: ToxicityModel, max_words: int = 500_000) -> Da
             for k, ids in enumerate(at):
                 ids, n = np.unique(ids, return_counts=True)
                 n = np.sqrt(n)
-                out[i + k] = (_memo["values"][ids] * n).sum() / (n.sum() + CALM)
+                out[i + k] = ((_memo["values"][ids] * n).sum() + CALM * calm) / (n.sum() + CALM)
         return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "score": 1 / (1 + np.exp(-np.clip(out + m.bias, -50, 50)))}
 
     return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, text string, score double")
