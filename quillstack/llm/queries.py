@@ -10,6 +10,7 @@ from quillstack.llm.decontam import op4_tiling_decontam
 from quillstack.llm.langid import op9_lang_viterbi
 from quillstack.llm.media import op6_iso_media
 from quillstack.llm.mixing import op7_mixture_tree
+from quillstack.llm.neardup import op8_bagminhash
 from quillstack.llm.quality import op5_quality_knn
 from quillstack.llm.tokens import op2_token_dac
 from quillstack.llm.toxicity import op3_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_knn": op5_quality_knn,
     "op6_iso_media": op6_iso_media,
     "op7_mixture_tree": op7_mixture_tree,
+    "op8_bagminhash": op8_bagminhash,
     "op9_lang_viterbi": op9_lang_viterbi,
 }
 
