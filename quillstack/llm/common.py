@@ -46,6 +46,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n ints that Spark's hash partitioning deals to n partitions, one to each."""
+    if n > 5000:
+        return list(range(n))
+    found: dict[int, int] = {}
+    lo = 0
+    while len(found) < n:
+        ids = spark.range(lo, lo + 20 * n, numPartitions=1).select(F.col("id").cast("int").alias("id"))
+        for r in ids.select("id", F.pmod(F.hash("id"), F.lit(n)).alias("to")).collect():
+            found.setdefault(r["to"], r["id"])
+        lo += 20 * n
+    return [found[i] for i in range(n)]
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n (null: of the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,10 +12,12 @@ from quillstack.llm.media import op6_iso_media
 from quillstack.llm.mixing import op7_mixture_tree
 from quillstack.llm.neardup import op8_bagminhash
 from quillstack.llm.quality import op5_quality_knn
+from quillstack.llm.suffix import op1_suffix_dedup
 from quillstack.llm.tokens import op2_token_dac
 from quillstack.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_dac": op2_token_dac,
     "op3_toxicity": op3_toxicity,
     "op4_tiling_decontam": op4_tiling_decontam,
