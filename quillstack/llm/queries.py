@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm.decontam import op4_tiling_decontam
 from quillstack.llm.langid import op9_lang_viterbi
+from quillstack.llm.linededup import op10_line_edit_join
 from quillstack.llm.media import op6_iso_media
 from quillstack.llm.mixing import op7_mixture_tree
 from quillstack.llm.neardup import op8_bagminhash
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixture_tree": op7_mixture_tree,
     "op8_bagminhash": op8_bagminhash,
     "op9_lang_viterbi": op9_lang_viterbi,
+    "op10_line_edit_join": op10_line_edit_join,
 }
 
 ORACLES: dict[str, str] = {}
