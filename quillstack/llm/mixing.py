@@ -170,11 +170,11 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1
     return mix
 
 
-def mixed(docs: DataFrame, mix: Mixture) -> DataFrame:
-    """The mix itself: docs' rows as often as they are taken, with `shard` and `place`, their rank in the shard's own shuffle."""
-    rows = mix.assign(docs.withColumn("__key", key(mix.seed))).select(*docs.columns, "__key", F.posexplode("__shards").alias("__copy", "shard"))
-    rows = rows.withColumn("place", F.xxhash64(F.lit(mix.seed), "__key", "__copy"))
-    return rows.drop("__key", "__copy").repartition(parts(docs.sparkSession), "shard").sortWithinPartitions("shard", "place")
+def mixed(docs: DataFrame, mix: Mixture, shard: str = "shard", place: str = "place") -> DataFrame:
+    """The mix itself: docs' rows as often as they are taken, with their shard and their place, a rank in the shard's own shuffle."""
+    rows = mix.assign(docs.withColumn("__key", key(mix.seed))).select(*docs.columns, "__key", F.posexplode("__shards").alias("__copy", shard))
+    rows = rows.withColumn(place, F.xxhash64(F.lit(mix.seed), "__key", "__copy"))
+    return rows.drop("__key", "__copy").repartition(parts(docs.sparkSession), shard).sortWithinPartitions(shard, place)
 
 
 def op7_mixture_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

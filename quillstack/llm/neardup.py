@@ -289,5 +289,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return steps.signed.select("node", "doc_id").join(named, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), "exact", "texts", "node")
 
 
+def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """docs, all columns, with one row of each class: the one with the least id; of rows equal in id and text one stays."""
+    found = near_duplicates(docs.select("doc_id", "text"), least)
+    gone = found.where(~F.col("keep")).select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
+    marked = docs.withColumn("__own", F.xxhash64(F.lit(29), F.coalesce("text", F.lit(""))))
+    left = marked.join(gone, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    # one text can be kept twice only as rows that repeat, under one id, a text of one class
+    again = cut(found.where("keep").groupBy("class_id").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1").select("class_id", F.col("node").alias("__least")))
+    if again.isEmpty():
+        return left.drop("__own")
+    twice = left.join(again, F.col("doc_id").eqNullSafe(F.col("class_id")))
+    one = twice.where("__own = __least").dropDuplicates(["doc_id", "__own"]).select(docs.columns)
+    rest = left.join(again, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_anti").select(docs.columns)
+    return rest.unionByName(one)
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")

@@ -10,10 +10,12 @@ number for each word, so scoring sums numbers and never builds vectors.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,35 +173,53 @@ class _Values(dict):
 _memo: dict[str, object] = {}
 
 
-def score(docs: DataFrame, model: ToxicityModel, max_words: int = 500_000) -> DataFrame:
-    """docs with `score`, the softmax's share for label 1 over the whole text. A text that is null or has no word is read as empty words alone.
-
-    Workers keep the values of the words they have met (emptied at max_words).
-    """
-    import uuid
-
+def scorer(docs: DataFrame, model: ToxicityModel, max_words: int = 500_000):
+    """A function for workers from texts to scores. They keep the values of the words they have met (emptied at max_words)."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def rows(batch) -> dict:
+    def scores(texts: list[str | None]) -> np.ndarray:
         m = shared.value
         if _memo.get("key") != key or len(_memo["words"]) > max_words:
             _memo.clear()
             _memo.update(key=key, words=_Values(), values=np.zeros(0, np.float32))
-        words, out, calm = _memo["words"], np.zeros(batch.num_rows), float(m.word_values([""])[0])
-        for i in range(0, batch.num_rows, 256):
-            texts = batch.column("text").slice(i, 256).to_pylist()
-            at = [np.fromiter(map(words.__getitem__, WORD.findall((t or "").lower())), dtype=np.int64) for t in texts]
-            if len(words) > len(_memo["values"]):
-                _memo["values"] = np.concatenate([_memo["values"], m.word_values(list(words)[len(_memo["values"]) :])])
-            for k, ids in enumerate(at):
-                ids, n = np.unique(ids, return_counts=True)
-                n = np.sqrt(n)
-                out[i + k] = ((_memo["values"][ids] * n).sum() + CALM * calm) / (n.sum() + CALM)
-        return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "score": 1 / (1 + np.exp(-np.clip(out + m.bias, -50, 50)))}
+        words, out, calm = _memo["words"], np.zeros(len(texts)), float(m.word_values([""])[0])
+        at = [np.fromiter(map(words.__getitem__, WORD.findall((t or "").lower())), dtype=np.int64) for t in texts]
+        if len(words) > len(_memo["values"]):
+            _memo["values"] = np.concatenate([_memo["values"], m.word_values(list(words)[len(_memo["values"]) :])])
+        for i, ids in enumerate(at):
+            ids, n = np.unique(ids, return_counts=True)
+            n = np.sqrt(n)
+            out[i] = ((_memo["values"][ids] * n).sum() + CALM * calm) / (n.sum() + CALM)
+        return 1 / (1 + np.exp(-np.clip(out + m.bias, -50, 50)))
+
+    def all_scores(column: pa.Array) -> np.ndarray:
+        return np.concatenate([scores(column.slice(i, 256).to_pylist()) for i in range(0, len(column), 256)])
+
+    return all_scores
+
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, text and `score`, the softmax's share for label 1 over the whole text. A text that is null or has no word is read as empty words alone."""
+    scores = scorer(docs, model)
+
+    def rows(batch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "score": scores(batch.column("text"))}
 
     return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, text string, score double")
 
 
+def reject(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows whose score reaches the limit."""
+    scores = scorer(docs, model)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(scores(batch.column("text")) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
