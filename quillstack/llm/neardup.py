@@ -5,8 +5,9 @@ A text is the multiset of its five-word shingles. Each shingle of count w has a
 counts if that weight is below w. A slot's signature is its earliest point, so two signatures agree there with the
 probability of the weighted Jaccard similarity. Points come in order of time, and a text stops at its latest slot.
 
-Documents meet in bands of `rows` slots. In each band all members are compared with one leader, then those still apart
-with a second leader, then every pair of members from different classes, in blocks; no bucket is cut off. Candidates are
+Documents meet in bands of `rows` slots. In each band all members are compared with the one that meets most neighbours,
+then those still apart with a second leader, then every pair of members from different classes, in blocks that give
+back verified links alone, one for each member and class; no bucket is cut off. Candidates are
 verified on the multisets themselves. Links go through alternating stars to class ids. Everything that grows with the
 corpus stays in DataFrames; hot texts are one node, hot bands are summed before they shuffle.
 """
@@ -168,6 +169,22 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def estimates(left: list[bytes], right: list[bytes], most: int = 512) -> np.ndarray:
+    """Similarities of all pairs of two lists of bags: exact for small bags, else over marks below a bound that leaves `most` of them on average."""
+    own = [np.frombuffer(b, np.uint64) for b in (*left, *right)]
+    mean = max(1.0, float(np.mean([len(b) for b in own])))
+    if mean > most:
+        bound = np.uint64(int(most / mean * 2**64))
+        own = [b[: np.searchsorted(b, bound)] for b in own]
+    size = np.array([len(b) for b in own])
+    names, column = np.unique(np.concatenate(own), return_inverse=True)
+    row = np.repeat(np.arange(len(own)), size)
+    there = np.zeros((len(own), len(names)), dtype=np.float32)
+    there[row, column] = 1
+    both = there[: len(left)] @ there[len(left) :].T
+    return both / np.maximum(size[: len(left), None] + size[None, len(left) :] - both, 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) of all nodes of edges(a, b); the class is the component's least node. Alternating large and small stars."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -199,8 +216,12 @@ class NearDuplicates:
         self.signed = cut(arrow_map(self.texts, rows, "node long, doc_id long, bands array<long>"))
         one = self.signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
         self.members = one.select("node", F.explode("bands").alias("band"))
-        shared = self.members.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-        self.banded = cut(self.members.join(shared, "band").select("band", "node", "leader", "size"))
+        shared = self.members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+        met = cut(self.members.join(shared, "band").select("band", "node", "size"))
+        # a text that others were copied from keeps the smallest points of all of them, so it meets most neighbours
+        weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
+        leader = met.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+        self.banded = cut(met.join(leader, "band").select("band", "node", "leader", "size"))
         wanted = self.banded.select("node").distinct().join(one.select("node", "rep"), "node")
 
         def packed(batch) -> dict:
@@ -238,37 +259,52 @@ class NearDuplicates:
         pairs = mixed.join(second, "band").where("class <> to.class").select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b"))
         more = cut(self.verified(pairs))
         found, classes = found.union(more), components(found.union(more))
-        rest = cut(self.verified(self._apart(self._mixed(classes))))
+        mixed = self._mixed(classes)
+        rest = cut(self.verified(self._few_apart(mixed)).union(self._many_apart(mixed)))
         return found.union(rest)
 
-    def _apart(self, mixed: DataFrame, small: int = 12, block: int = 256) -> DataFrame:
-        """All pairs (a, b) of different classes in one band: directly in small bands, by blocks of signatures in large ones."""
+    def _few_apart(self, mixed: DataFrame, small: int = 12) -> DataFrame:
+        """All pairs (a, b) of different classes in bands of at most `small` members."""
         few = mixed.where(F.col("size") <= small).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "class"))).alias("all"))
         pairs = few.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> y.class <> x.class), y -> struct(x.node as a, y.node as b))))")).alias("p")).select("p.a", "p.b")
+        return pairs
+
+    def _many_apart(self, mixed: DataFrame, small: int = 12, block: int = 128) -> DataFrame:
+        """Links (a, b, similarity) between classes in larger bands, one for each member and other class of a pair of blocks."""
+        least = self.least
         many = mixed.where(F.col("size") > small).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
         many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
         keys = self.signed.select("node", F.col("bands").alias("bands")).join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
-        dealt = many.join(keys, "node").select("band", "node", "class", "bands", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = many.join(keys, "node").join(self.bags, "node").select("band", "node", "class", "bands", "bag", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
         def compare(group: pd.DataFrame) -> pd.DataFrame:
-            """A pair counts in the first of the bands it shares, so it comes out once."""
+            """A pair is looked at in the first of the bands it shares, so once."""
             lo, hi, band = int(group["lo"].iloc[0]), int(group["hi"].iloc[0]), int(group["band"].iloc[0])
             x, y = group[group["own"] == lo], group[group["own"] == hi]
             if not len(x) or not len(y):
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+                return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
             kx, ky = np.stack(x["bands"]), np.stack(y["bands"])
             earlier = int(np.flatnonzero(kx[0] == band)[0])
-            apart = x["class"].to_numpy()[:, None] != y["class"].to_numpy()[None, :]
+            cx, cy = x["class"].to_numpy(), y["class"].to_numpy()
+            apart = cx[:, None] != cy[None, :]
             if lo == hi:
                 apart = np.triu(apart, 1)
             for k in range(earlier):
                 apart &= kx[:, k][:, None] != ky[:, k][None, :]
-            i, j = np.nonzero(apart)
-            a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-        return pairs.union(dealt.groupBy("band", "lo", "hi").applyInPandas(compare, "a long, b long"))
+            bx, by = x["bag"].tolist(), y["bag"].tolist()
+            likely = apart & (estimates(bx, by) >= least - 0.12) if apart.any() else apart
+            nx, ny, done, out = x["node"].to_numpy(), y["node"].to_numpy(), set(), []
+            for i, j in zip(*np.nonzero(likely), strict=True):
+                if (nx[i], cy[j]) in done or (ny[j], cx[i]) in done:
+                    continue
+                share = similarity(bx[i], by[j])
+                if share >= least:
+                    done |= {(nx[i], cy[j]), (ny[j], cx[i])}
+                    out.append((min(nx[i], ny[j]), max(nx[i], ny[j]), share))
+            return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+        return dealt.groupBy("band", "lo", "hi").applyInPandas(compare, "a long, b long, similarity double")
 
     def classes(self) -> DataFrame:
         """(node, class) of linked nodes, and the links themselves."""
