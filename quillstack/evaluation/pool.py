@@ -13,6 +13,10 @@ from quillstack.functions.text import description_terms, fold_evaluation
 KEYS = ["need_id", "doc_id"]
 
 
+def _holds_any(field: str, terms: Column) -> Column:
+    return F.exists(terms, lambda t: fold_evaluation(field).contains(t))
+
+
 def condition_complement(corpus: DataFrame, conditions: list[dict]) -> DataFrame:
     """doc_id of the documents in which, for each metadata condition, each field holds any of its description's terms.
 
@@ -23,7 +27,7 @@ def condition_complement(corpus: DataFrame, conditions: list[dict]) -> DataFrame
         if c.get("relates_to") != "metadata" or not c.get("fields"):
             continue
         terms = description_terms(F.lit(c["description"]))
-        tests += [F.exists(terms, lambda t, f=f: fold_evaluation(f).contains(t)) for f in c["fields"]]
+        tests += [_holds_any(f, terms) for f in c["fields"]]
     return corpus.where(reduce(lambda a, b: a & b, tests) if tests else F.lit(False)).select("doc_id")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,16 +21,26 @@ def norm(a: Column | str) -> Column:
 
 
 def l2_normalise(a: Column | str) -> Column:
-    """A vector of length one; a zero vector stays."""
+    """A vector of length one; a zero vector stays. The length is bound once, not for each element."""
     a = F.col(a) if isinstance(a, str) else a
-    return F.when(norm(a) == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / norm(a)))
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))[0]
 
 
-def hashed_bag(words: Column | str, dim: int = 64) -> Column:
-    """Counts of words by the first 16 bits of their md5 modulo dim, of length one."""
+def word_slots(words: Column | str, dim: int = 64) -> Column:
+    """Each word's slot: the first 16 bits of its md5 modulo dim."""
     words = F.col(words) if isinstance(words, str) else words
-    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
-    return l2_normalise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double")))
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
+
+
+def hashed_bag(words: Column | str, dim: int = 64) -> Column:
+    """Counts of words by slot, of length one. Slots come from Spark's md5; only counting, which no function does in one pass, is an Arrow UDF."""
+
+    @F.pandas_udf("array<double>")
+    def counted(slots: pd.Series) -> pd.Series:
+        bags = [np.bincount(np.asarray(s, dtype=np.int64), minlength=dim).astype(float) if len(s) else np.zeros(dim) for s in slots]
+        return pd.Series([b / (np.linalg.norm(b) or 1.0) for b in bags])
+
+    return counted(word_slots(words, dim))
 
 
 def encoder(model: Callable[[list[str]], "list[list[float]]"]) -> Callable[[Column], Column]:

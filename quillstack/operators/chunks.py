@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.hashing import fingerprint
 from quillstack.functions.text import chunk_words, clean_html, document_text, words
+from quillstack.session import checkpointed
 from quillstack.sources.publish import read_json, write_json
 
 SPECIAL_TOKENS, MARGIN = 2, 4
@@ -72,7 +73,8 @@ def positioned(chunks: DataFrame, order: list[str]) -> DataFrame:
     """chunks with `pos`, dense from 0 in the order, without a global sort in one task: partitions by range, counts, offsets."""
     spark = chunks.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = chunks.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    # materialised once: the partition numbers must be those that the counts saw
+    ranged = checkpointed(chunks.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # a row for each partition
     offsets, total = [], 0
     for r in counts:

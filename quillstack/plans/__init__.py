@@ -1,0 +1,6 @@
+"""Named query plans and their SQL twins."""
+
+from quillstack.plans import corpus, retrieval
+
+QUERIES = corpus.QUERIES | retrieval.QUERIES
+ORACLES = corpus.ORACLES | retrieval.ORACLES

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialised in the cluster's shared checkpoint folder; one of our own only where the session names none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstack-"))
+    return df.checkpoint(eager=True)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
