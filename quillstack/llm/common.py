@@ -46,18 +46,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n ints that Spark's hash partitioning deals to n partitions, one to each."""
+def even_keys(spark: SparkSession, n: int, each: int = 1) -> list[int]:
+    """n * each different ints that Spark's hash partitioning deals to n partitions, `each` to every one."""
     if n > 5000:
-        return list(range(n))
-    found: dict[int, int] = {}
-    lo = 0
-    while len(found) < n:
-        ids = spark.range(lo, lo + 20 * n, numPartitions=1).select(F.col("id").cast("int").alias("id"))
+        return list(range(n * each))
+    found: dict[int, list[int]] = {}
+    lo, step = 0, 20 * n * each
+    while len(found) < n or min(map(len, found.values())) < each:
+        ids = spark.range(lo, lo + step, numPartitions=1).select(F.col("id").cast("int").alias("id"))
         for r in ids.select("id", F.pmod(F.hash("id"), F.lit(n)).alias("to")).collect():
-            found.setdefault(r["to"], r["id"])
-        lo += 20 * n
-    return [found[i] for i in range(n)]
+            found.setdefault(r["to"], []).append(r["id"])
+        lo += step
+    return [k for i in range(each) for k in (found[j][i] for j in range(n))]
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

@@ -8,7 +8,8 @@ none of which holds more than a bounded part of the corpus:
 2. A bucket tells each part which anchors other documents have too. Only windows with such an anchor can repeat.
 3. Windows with one anchor form a stretch of under 2 * length bytes. A part sends each distinct stretch once, with its
    least id, to the anchor's bucket. Anchors in very many stretches send single windows by the windows' own hash.
-4. A bucket cuts its distinct stretches into shards, sorts each shard's rotations once and keeps only the Burrows-Wheeler
+   Equal stretches are one string there; a string alone with its anchor has nothing to be compared with.
+4. A bucket cuts the other distinct stretches into shards, sorts each shard's rotations once and keeps only the Burrows-Wheeler
    transforms. It merges all of them by iterative interleave refinement: an interleave of shard numbers is sorted again
    and again by the transforms' own symbols; after iterations worth `length` symbols, positions that were never told
    apart have that common prefix, and these intervals are the repeated strings. No suffix is sorted again.
@@ -20,6 +21,8 @@ the way back, name a stretch within its part.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,8 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: An anchor in more stretches of one corpus than this is dealt by single windows.
 HOT = 4096
+#: Buckets of stretches for each part, so that a bucket's arrays stay small.
+SPREAD = 4
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LAST = np.iinfo(np.int64).max  # stands for a null id, which is larger than any other
 
@@ -188,7 +193,7 @@ def rotations(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     for _ in range(3):  # eight symbols of at most eight bits
         rank = (rank << np.uint64(8 * width)) | rank[ahead(width)]
         width *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while True:
         same = np.r_[False, rank[order][1:] == rank[order][:-1]]
         new = np.empty(n, np.uint64)
@@ -197,30 +202,29 @@ def rotations(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
             return order
         rank = (new << np.uint64(32)) | new[ahead(width)]
         width *= 2
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' transforms and where a new interval starts, after refinement to a common prefix of `depth`.
+def merge(steps: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms and where a new interval starts, after one refinement a step.
 
-    transforms: each shard's Burrows-Wheeler transform over cyclic strings. The interleave starts unsorted, one shard after
-    another; each iteration moves every position to the place its preceding symbol gives it, keeping order among equal
-    symbols. After i iterations positions are sorted by i symbols, and those told apart differ within them.
+    A step has each shard's Burrows-Wheeler transform over cyclic strings, whose symbols are so many preceding bytes. The
+    interleave starts unsorted, one shard after another; each iteration moves every position to the place its preceding
+    symbol gives it, keeping order among equal symbols. Afterwards positions are sorted by as many bytes as all steps'
+    symbols have, and those told apart differ within them.
     """
-    joined = np.concatenate(transforms)
-    sizes = np.array([len(t) for t in transforms])
-    z = np.repeat(np.arange(len(transforms)), sizes).astype(np.uint16 if len(transforms) > 255 else np.uint8)
-    opened = np.zeros(len(joined), bool)
-    if len(joined):
-        opened[0] = True
-    for _ in range(depth):
+    sizes = np.array([len(t) for t in steps[0]])
+    z = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16 if len(sizes) > 255 else np.uint8)
+    opened = np.zeros(int(sizes.sum()), bool)
+    opened[:1] = True
+    for transforms in steps:
+        joined = np.concatenate(transforms)
         by_shard = np.argsort(z, kind="stable")  # the k-th of a shard in the interleave has the k-th symbol of its transform
         symbol = np.empty_like(joined)
         symbol[by_shard] = joined
-        block = np.cumsum(opened)
+        block = np.cumsum(opened, dtype=np.int32)
         to = np.argsort(symbol, kind="stable")
-        z = z[to]
-        moved, s = block[to], symbol[to]
+        z, moved, s = z[to], block[to], symbol[to]
         opened = np.r_[True, (s[1:] != s[:-1]) | (moved[1:] != moved[:-1])]
     return z, opened
 
@@ -245,26 +249,23 @@ def repeats(strings: list[bytes], least: np.ndarray, depth: int = LENGTH, shard_
     text[:] = np.where(body, names[raw], 0)
     share = max(1, min(shard_bytes, -(-len(raw) // 2)))
     shard = np.minimum(first // share, (len(raw) - 1) // share)
-    wide = int(used.sum()) + 1
-    transforms, orders = [], []
-    pairs = wide * wide <= 1 << 16
+    orders, places = [], []
     for _, members in _grouped(shard):
         lo, hi = int(first[members[0]]), int(first[members[-1]] + size[members[-1]])
-        order = rotations(text[lo:hi], first[members] - lo, size[members]) + lo
+        orders.append(rotations(text[lo:hi], first[members] - lo, size[members]) + lo)
+    for order in orders:
         own = np.searchsorted(first, order, side="right") - 1
-        before = first[own] + (order - first[own] - 1) % size[own]
-        if pairs:  # two symbols at a time: half the iterations
-            further = first[own] + (order - first[own] - 2) % size[own]
-            transforms.append((text[further].astype(np.uint32) * np.uint32(wide) + text[before]).astype(np.uint16))
-        else:
-            transforms.append(text[before].astype(np.uint16))
-        orders.append(order)
-    if pairs:
-        z, opened = merge(transforms, depth // 2)
-        if depth % 2:
-            raise ValueError("an even length is asked for")
-    else:
-        z, opened = merge(transforms, depth)
+        places.append((first[own], order - first[own], size[own]))
+
+    # a transform's symbols are as many preceding bytes as 16 bits can name: fewer iterations for the same depth
+    @cache
+    def symbols(k: int) -> list[np.ndarray] | None:
+        wide = [sum(text[start + (at - j - 1) % long].astype(np.uint64) << np.uint64(8 * j) for j in range(k)) for start, at, long in places]
+        names = np.unique(np.concatenate(wide))
+        return [np.searchsorted(names, w).astype(np.uint16) for w in wide] if len(names) <= 1 << 16 else None
+
+    k = next(k for k in range(min(6, depth), 0, -1) if symbols(k) is not None)
+    z, opened = merge([symbols(k)] * (depth // k) + ([symbols(depth % k)] if depth % k else []))
     place = np.empty(len(raw), np.int64)
     place[np.argsort(z, kind="stable")] = np.concatenate(orders)
     own = np.searchsorted(first, place, side="right") - 1
@@ -279,7 +280,7 @@ def repeats(strings: list[bytes], least: np.ndarray, depth: int = LENGTH, shard_
 
 ANCHORS = "part int, bucket int, codes binary, counts binary, several binary"
 KINDS = "part int, bucket int, kinds binary"
-STRETCHES = "part int, bucket int, names binary, sizes binary, ids binary, bytes binary, hot binary"
+STRETCHES = "part int, bucket int, names binary, codes binary, sizes binary, ids binary, bytes binary, hot binary"
 ANSWERS = "part int, names binary, windows binary, owners binary, offsets binary, ids binary, hot binary"
 RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<begin:int,end:int>>"
 
@@ -303,6 +304,7 @@ def remove_repeats(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     n = n_parts or parts(spark)
     keys = even_keys(spark, n)  # of parts and of buckets
     number = {k: i for i, k in enumerate(keys)}
+    spread = even_keys(spark, n, SPREAD)  # of the buckets where stretches meet
     turn = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(n)).cast("int")
     part = F.element_at(F.array(*map(F.lit, keys)), turn + 1) if keys != list(range(n)) else turn
     dealt = docs.select("doc_id", "text").withColumn("part", part).repartition(n, "part")
@@ -330,7 +332,7 @@ def remove_repeats(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
         return _made(KINDS, [(p, b, kind[x:y].tobytes()) for p, b, x, y in zip(t.column("part").to_pylist(), t.column("bucket").to_pylist(), bound, bound[1:], strict=False)])
 
     def candidates(p: Part, kinds: dict[int, bytes]) -> tuple[np.ndarray, ...]:
-        """Of the stretches that may repeat: bucket, document, begin, end, name; hot anchors as single windows, and their codes."""
+        """Of the stretches that may repeat: code to meet by, document, begin, end, name; hot anchors as single windows, and their codes."""
         codes, back, _, _ = _distinct(p.code, p.doc)
         kind = np.zeros(len(codes), np.uint8)
         for b, k in _grouped(_bucket(codes, n)):
@@ -342,39 +344,49 @@ def remove_repeats(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
         begin, end = np.r_[p.begin[cold], single], np.r_[p.end[cold], single + 1] + LENGTH - 1
         doc = np.r_[p.doc[cold], np.repeat(p.doc[hot], windows)]
         name = p.names(begin, end)
-        bucket = np.r_[_bucket(p.code[cold], n), _bucket(name[len(cold) :], n)] if len(begin) else np.zeros(0, np.int64)
-        return bucket, doc, begin, end, name, np.unique(p.code[hot])
+        code = np.r_[p.code[cold], name[len(cold) :]]
+        return code, doc, begin, end, name, np.unique(p.code[hot])
 
     def send_stretches(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _made(STRETCHES, [])
         p, part = part_of(left), left.column("part")[0].as_py()
-        bucket, doc, begin, end, name, hot = candidates(p, dict(zip(map(number.get, right.column("bucket").to_pylist()), right.column("kinds").to_pylist(), strict=True)))
+        code, doc, begin, end, name, hot = candidates(p, dict(zip(map(number.get, right.column("bucket").to_pylist()), right.column("kinds").to_pylist(), strict=True)))
         by = np.lexsort((p.ids[doc], name)) if len(name) else np.zeros(0, int)
         one = by[np.flatnonzero(np.r_[True, name[by][1:] != name[by][:-1]])] if len(by) else by
-        rows = [(part, part, b"", b"", b"", b"", hot.tobytes())] if len(hot) else []  # the part's own note
-        for b, k in _grouped(bucket[one]):
+        rows = [(part, part, b"", b"", b"", b"", b"", hot.tobytes())] if len(hot) else []  # the part's own note
+        for b, k in _grouped(_bucket(code[one], len(spread))):
             k = one[k]
             size = end[k] - begin[k]
-            rows.append((part, keys[b], name[k].tobytes(), size.astype(np.uint16).tobytes(), p.ids[doc[k]].tobytes(), _flat(p.flat, begin[k], size).tobytes(), b""))
+            rest = (code[k] // np.uint64(len(spread))).astype(np.uint32)
+            rows.append((part, spread[b], name[k].tobytes(), rest.tobytes(), size.astype(np.uint16).tobytes(), p.ids[doc[k]].tobytes(), _flat(p.flat, begin[k], size).tobytes(), b""))
         return _made(STRETCHES, rows)
 
     def match(t: pa.Table) -> pa.Table:
         strings: dict[bytes, int] = {}
         least: list[int] = []
+        by: list[int] = []
         sent = []
-        for sizes, ids, data in zip(t.column("sizes").to_pylist(), t.column("ids").to_pylist(), t.column("bytes").to_pylist(), strict=True):
+        for codes, sizes, ids, data in zip(*(t.column(c).to_pylist() for c in ("codes", "sizes", "ids", "bytes")), strict=True):
             at, own = 0, []
-            for k, i in zip(np.frombuffer(sizes, np.uint16).tolist(), np.frombuffer(ids, np.int64).tolist(), strict=True):
+            for c, k, i in zip(np.frombuffer(codes, np.uint32).tolist(), np.frombuffer(sizes, np.uint16).tolist(), np.frombuffer(ids, np.int64).tolist(), strict=True):
                 j = strings.setdefault(data[at : at + k], len(strings))
                 at += k
                 if j == len(least):
                     least.append(i)
+                    by.append(c)
                 elif i < least[j]:
                     least[j] = i
                 own.append(j)
             sent.append(own)
-        low = repeats(list(strings), np.array(least, dtype=np.int64))
+        lowest, texts = np.array(least, dtype=np.int64), list(strings)
+        _, back, together = np.unique(np.array(by, dtype=np.int64), return_inverse=True, return_counts=True)
+        met = np.flatnonzero(together[back] > 1) if len(by) else np.zeros(0, int)
+        low: list = [None] * len(texts)
+        for j, found in zip(met.tolist(), repeats([texts[j] for j in met.tolist()], lowest[met]), strict=True):
+            low[j] = found
+        for j in np.flatnonzero(together[back] == 1).tolist() if len(by) else []:
+            low[j] = np.full(len(texts[j]) - LENGTH + 1, least[j])
         out = []
         for part, own, name, hot in zip(t.column("part").to_pylist(), sent, t.column("names").to_pylist(), t.column("hot").to_pylist(), strict=True):
             if not own:
