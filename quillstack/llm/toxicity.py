@@ -73,6 +73,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, step
     The bias stays at the odds of the classes. Words of fewer than a thousandth
     of the texts (two at least) are left out of the means; vectors start near zero, so n-grams never met stay neutral.
     """
+    if len(set(labels.tolist())) < 2:  # nothing to learn: every text gets the prior
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {"": 0}
     docs = []
@@ -80,7 +82,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, step
         at, n = np.unique(np.fromiter((vocab.setdefault(w, len(vocab)) for w in WORD.findall(text.lower())), dtype=np.int64), return_counts=True)
         n = np.sqrt(n)
         docs.append((np.append(at, 0), np.append(n, CALM) / (n.sum() + CALM)))
-    met = np.bincount(np.concatenate([a for a, _ in docs]), minlength=len(vocab)) if vocab else np.zeros(0, int)
+    met = np.bincount(np.concatenate([a for a, _ in docs]), minlength=len(vocab))
     least = max(2, len(texts) // 1000)
     docs = [(a[met[a] >= least], w[met[a] >= least]) for a, w in docs]
     ids, size = subwords(list(vocab))
@@ -88,11 +90,11 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, step
     table = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32)
     out = np.zeros((2, dim), dtype=np.float32)
     out[1] = rng.normal(0, 1, dim)
-    share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6))
+    share = float(labels.mean())
     bias = np.array([0.0, np.log(share / (1 - share))], dtype=np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out)]
     step = 0
-    for _ in range(-(-steps * batch // len(docs)) if len(set(labels.tolist())) > 1 else 0):
+    for _ in range(-(-steps * batch // len(docs))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
