@@ -157,3 +157,18 @@ def test_manifest_frame(spark, tmp_path):
     assert m.frame(spark).first()["file_size_bytes"] == 3
     with pytest.raises(ValueError):
         m.append({"sha256": "x"})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillstack import cli
+
+    (tmp_path / "c.yaml").write_text("allowed_fields: [KEY, BODY, TOPIC]\nprimary_key_field: KEY\ntext_field: BODY\nretrieval_text_fields: [BODY]\nmetadata_fields: [TOPIC]\ndataset: d\ndataset_year: 2024\nbatch_id: b\neligibility: {required_text_fields: [BODY]}\n")
+    (tmp_path / "in.csv").write_text("KEY|BODY|TOPIC\n1|a|t\n2||t\n3|c|u\n3|d|u\n")
+    run = lambda *a: cli.main([*a, "--config", str(tmp_path / "c.yaml"), "--home", str(tmp_path)])
+    assert run("ingest", "--file", str(tmp_path / "in.csv"), "--url", "https://example.com") == 0
+    assert run("select") == 1
+    for command in ("audit", "canonicalise"):
+        assert run(command, "--file", "in.csv") == 0
+    assert run("select") == 0 and run("profile") == 0
+    assert read_json(latest(tmp_path / "selection", "selection*.json"), "n_eligible") == 2
+    assert "fingerprint matches: True" in (tmp_path / "reports" / "profile.md").read_text()

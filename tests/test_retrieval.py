@@ -109,3 +109,26 @@ def test_stream_appends_each_content_once(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text('{"text": "y"}\n{"text": "z"}\n')
     run()
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["x", "y", "z"]
+
+
+def test_runs_publish_whole_sets(spark, retriever, tmp_path):
+    from quillstack.evaluation import runs
+
+    sheet = needs.NeedSheet(**SHEET, formulations={"direct": "plenario", "paraphrase": "nada", "verbose": "sobre a CFP"})
+    parts = spark.createDataFrame([("d1", 0, "a", [1.0, 0.0]), ("d2", 1, "c", [0.0, 1.0]), ("d3", 2, "d", [1.0, 0.0])], "doc_id string, pos int, text string, embedding array<double>")
+    v = vector.VectorRetriever(parts, lambda q: [0.0, 1.0], limit=50)
+    every = {"structured": retriever, "vector": v, "hybrid": hybrid.HybridRetriever(retriever, v)}
+    made = runs.run_pool(spark, [sheet], every, retriever.corpus, tmp_path / "pool")
+    candidates = spark.read.parquet(str(made["candidates.parquet"]))
+    assert {r["doc_id"] for r in candidates.collect()} == {"d1", "d2", "d3"}
+    results = spark.read.parquet(str(made["retrievals.parquet"]))
+    pairs = lambda *ids: spark.createDataFrame([("NI-001", i) for i in ids], "need_id string, doc_id string")
+    out = runs.run_judgment(spark, results, pairs("d3"), pairs("d1", "gone"), retriever.corpus, tmp_path / "judgment")
+    from quillstack.sources.publish import read_json
+
+    assert read_json(out["judgment.json"], "absent_references") == ["gone"] and read_json(out["judgment.json"], "n_pairs") == 3
+    files = runs.notebook(spark.read.parquet(str(out["pairs.parquet"])), retriever.corpus, ["ENTIDADE"], {"NI-001": "criteria"}, tmp_path / "book", 2)
+    assert [f.name for f in files] == ["NI-001_01.md", "NI-001_02.md"] and "hybrid" not in files[0].read_text()
+    with pytest.raises(judgment.JudgmentCapExceeded):
+        runs.run_judgment(spark, results, pairs("d3"), pairs("d1"), retriever.corpus, tmp_path / "none", cap=2)
+    assert not (tmp_path / "none").exists()
