@@ -29,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; Spark deletes it with the last reference."""
+    """Materialise in the shared folder and cut the lineage; Spark deletes it with the last reference.
+
+    Spark's cleaner frees shuffle files and checkpoints only as the driver's JVM collects garbage, which an iterative job
+    hardly makes it do; so each cut asks for a collection.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(df: DataFrame, name: str, **options: str) -> DataFrame:
