@@ -84,8 +84,12 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, step
         docs.append((np.append(at, 0), np.append(n, CALM) / (n.sum() + CALM)))
     met = np.bincount(np.concatenate([a for a, _ in docs]), minlength=len(vocab))
     least = max(2, len(texts) // 1000)
-    docs = [(a[met[a] >= least], w[met[a] >= least]) for a, w in docs]
-    ids, size = subwords(list(vocab))
+    met[0] = least  # the empty word stays
+    place = np.cumsum(met >= least) - 1
+    docs = [(place[a[met[a] >= least]], w[met[a] >= least]) for a, w in docs]
+    # n-grams of the words that stay alone: most words of a corpus are rare, and theirs would fill the driver
+    ids, size = subwords([w for w, n in zip(vocab, met.tolist(), strict=True) if n >= least])
+    del vocab
     begin = np.cumsum(size) - size
     table = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32)
     out = np.zeros((2, dim), dtype=np.float32)
