@@ -312,7 +312,8 @@ class NearDuplicates:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the class's least doc_id), keep (whether it is the row that stays), exact (copies of its text).
+    """One row for each row of docs: doc_id, class_id (the class's least doc_id), keep (whether it is the row that stays), exact (copies of its text),
+    texts (different ones in its class), node and class (hashes; classes may share their least doc_id).
 
     Null and empty texts count as copies of one another. Null ids sort last; of rows with the kept id one stays.
     """
@@ -321,8 +322,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     grouped = steps.signed.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("exact"))
     named = grouped.join(classes, "node", "left").select("node", "rep", "exact", F.coalesce("class", "node").alias("class"))
     heads = named.groupBy("class").agg(F.min("rep").alias("class_id"), F.count("*").alias("texts"))
-    named = named.join(heads, "class").select("node", "rep", "class_id", "exact", "texts")
-    return steps.signed.select("node", "doc_id").join(named, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), "exact", "texts", "node")
+    named = named.join(heads, "class").select("node", "rep", "class", "class_id", "exact", "texts")
+    return steps.signed.select("node", "doc_id").join(named, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), "exact", "texts", "node", "class")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -331,15 +332,16 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     gone = found.where(~F.col("keep")).select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
     marked = docs.withColumn("__own", F.xxhash64(F.lit(29), F.coalesce("text", F.lit(""))))
     left = marked.join(gone, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    # one text can be kept twice only as rows that repeat, under one id, a text of one class
-    again = cut(found.where("keep").groupBy("class_id").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1").select("class_id", F.col("node").alias("__least")))
+    # a class keeps several rows only if they share its least id, null or repeated; unlike texts under one id are of different classes
+    held = found.where("keep").select("class", "node")
+    several = held.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("__least")).where("n > 1").select("class", "__least")
+    again = cut(held.distinct().join(several, "class").select(F.col("node").alias("__again"), "__least"))
     if again.isEmpty():
         return left.drop("__own")
-    twice = left.join(again, F.col("doc_id").eqNullSafe(F.col("class_id")))
-    one = twice.where("__own = __least").dropDuplicates(["doc_id", "__own"]).select(docs.columns)
-    rest = left.join(again, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_anti").select(docs.columns)
+    one = left.join(again, F.col("__own") == F.col("__again")).where("__own = __least").dropDuplicates(["__own"]).select(docs.columns)
+    rest = left.join(again, F.col("__own") == F.col("__again"), "left_anti").select(docs.columns)
     return rest.unionByName(one)
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node", "class")

@@ -122,6 +122,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_under_one_id_all_stay(spark):
+    """Null and repeated ids hold several classes; each class keeps one row."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("d")), (7, text("d")), (8, text("d")), (None, text("c"))]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"][:2]) for r in kept), key=repr) == [(7, "c0"), (7, "d0"), (None, "a0"), (None, "b0")]
+
+
 def test_large_bands_are_searched_in_place(spark):
     """A hub that all resemble while they don't resemble each other, in one class."""
     rng = random.Random(9)
