@@ -214,3 +214,31 @@ def test_line_dedup_matches_brute_force(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     copy = hashlib.sha256(want[0].encode()).hexdigest()
     assert out.where("doc_id = 0").select(F.sha2("kept", 256)).first()[0] == copy
+
+
+def test_line_limit_grows_with_length(spark):
+    """Every pair within a tenth (from 60 characters on a twentieth) of the shorter line is linked, with spaces or without, and no other."""
+    limit = lambda n: n // 20 if n >= 60 else 2 if n >= 20 else n // 10
+    assert all(n // linededup.GRAM > limit(n) for n in range(linededup.LONG, 5000))
+    rng = random.Random(11)
+    lines = set()
+    for k, n in enumerate([8, 10, 12, 15, 19, 21, 40, 58, 59, 60, 61, 79, 80, 100, 160, 240, 400] * 2):
+        for alphabet in ("abcdefé     ", "bcdfghjklé", "aeinrst"):
+            base = "".join(rng.choice(alphabet) for _ in range(n - 1)) + "b"
+            lines |= {base} | {changed(rng, base, m) for m in (1, limit(n), limit(n), limit(n) + 1, limit(n) + 3 + k)}
+            # evenly spread changes leave the shortest runs
+            lines.add("".join("#" if i % 20 == 19 else c for i, c in enumerate(base)))
+    lines = sorted(x for x in lines if x.strip())
+    want = set()
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most = limit(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= most and sum(map(abs, ((a.count(c) - b.count(c)) for c in "abcdefghijklnrst# "))) <= 2 * most and distance(a, b) <= most:
+                want.add(frozenset((a, b)))
+    assert len([p for p in want if min(map(len, p)) >= 60]) >= 150
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    steps = linededup.LineDuplicates(df)
+    name = {r["line_id"]: lines[r["doc_id"]] for r in steps.seen.collect()}
+    got = [(frozenset((name[r["a"]], name[r["b"]])), r["edits"]) for r in steps.links().collect()]
+    assert {p for p, _ in got} == want and len(got) == len(want)
+    assert all(e == distance(*p) for p, e in got)
