@@ -169,11 +169,15 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def estimates(left: list[bytes], right: list[bytes], most: int = 512) -> np.ndarray:
-    """Similarities of all pairs of two lists of bags: exact for small bags, else over marks below a bound that leaves `most` of them on average."""
+def estimates(left: list[bytes], right: list[bytes], most: int = 512, few: int = 200) -> np.ndarray:
+    """Similarities of all pairs of two lists of bags: exact for small bags, else over marks below a bound that leaves `most` of them on average.
+
+    Pairs with a bag of which fewer than `few` marks are left are 1, so that they are compared exactly.
+    """
     own = [np.frombuffer(b, np.uint64) for b in (*left, *right)]
     mean = max(1.0, float(np.mean([len(b) for b in own])))
-    if mean > most:
+    sampled = mean > most
+    if sampled:
         bound = np.uint64(int(most / mean * 2**64))
         own = [b[: np.searchsorted(b, bound)] for b in own]
     size = np.array([len(b) for b in own])
@@ -182,7 +186,10 @@ def estimates(left: list[bytes], right: list[bytes], most: int = 512) -> np.ndar
     there = np.zeros((len(own), len(names)), dtype=np.float32)
     there[row, column] = 1
     both = there[: len(left)] @ there[len(left) :].T
-    return both / np.maximum(size[: len(left), None] + size[None, len(left) :] - both, 1)
+    share = both / np.maximum(size[: len(left), None] + size[None, len(left) :] - both, 1)
+    if sampled:
+        share[np.minimum(size[: len(left), None], size[None, len(left) :]) < few] = 1.0
+    return share
 
 
 def components(edges: DataFrame) -> DataFrame:

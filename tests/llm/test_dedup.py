@@ -144,6 +144,16 @@ def test_large_bands_are_searched_in_place(spark):
     assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == brute_classes(rows)
 
 
+def test_estimates_leave_small_bags_to_the_exact_overlap():
+    rng = np.random.default_rng(3)
+    bag = lambda n: np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    small = [bag(150) for _ in range(40)]
+    near = [np.sort(np.r_[b[rng.permutation(150)[:135]], bag(15)]) for b in small]
+    got = neardup.estimates([*(b.tobytes() for b in small), bag(60000).tobytes()], [*(b.tobytes() for b in near), *(bag(60000).tobytes() for _ in range(40))])
+    assert all(got[i, i] >= 0.68 for i in range(40))
+    assert (got[40, 40:] < 0.1).all()
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {(r["node"], r["class"]) for r in neardup.components(edges).collect()} == {(i, 0) for i in range(41)}
