@@ -217,8 +217,10 @@ class NearDuplicates:
         self.texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64(F.lit(29), "text"))
 
         def rows(batch) -> dict:
-            keys = band_keys(_signed(batch.column("text").to_pylist()))
-            return {"node": batch.column("node"), "doc_id": batch.column("doc_id"), "bands": list(keys)}
+            sig = _signed(batch.column("text").to_pylist())
+            # a text without words has no points and meets no other; its copies are its node already
+            bare = np.isinf(sig).all(axis=1)
+            return {"node": batch.column("node"), "doc_id": batch.column("doc_id"), "bands": [k[:0] if b else k for k, b in zip(band_keys(sig), bare, strict=True)]}
 
         self.signed = cut(arrow_map(self.texts, rows, "node long, doc_id long, bands array<long>"))
         one = self.signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -322,7 +324,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the class's least doc_id), keep (whether it is the row that stays), exact (copies of its text),
     texts (different ones in its class), node and class (hashes; classes may share their least doc_id).
 
-    Null and empty texts count as copies of one another. Null ids sort last; of rows with the kept id one stays.
+    Null and empty texts count as copies of one another; other texts without words are like equal ones only. Null ids sort last; of rows with the kept id one stays.
     """
     steps = NearDuplicates(docs, least)
     classes = steps.classes()

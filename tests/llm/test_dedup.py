@@ -130,6 +130,13 @@ def test_unlike_texts_under_one_id_all_stay(spark):
     assert sorted(((r["doc_id"], r["text"][:2]) for r in kept), key=repr) == [(7, "c0"), (7, "d0"), (None, "a0"), (None, "b0")]
 
 
+def test_texts_without_words_are_like_equal_ones_only(spark):
+    rows = [(1, "!!!"), (2, "--- ---"), (3, "\U0001f600"), (4, "!!!"), (5, ""), (6, None), (7, "***\n***"), (8, "word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(df).collect()), key=repr) == brute_classes(rows)
+    assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(df).collect()) == [1, 2, 3, 5, 7, 8]
+
+
 def test_large_bands_are_searched_in_place(spark):
     """A hub that all resemble while they don't resemble each other, in one class."""
     rng = random.Random(9)
