@@ -18,33 +18,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of our own is set only where the session names none (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. A folder of our own is made only where the session names none
+    and runs in this one process (tests); elsewhere that is an error, since executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else tempfile.mkdtemp(prefix="quillstack-")
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quillstack-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; Spark deletes it with the last reference.
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df, computed once: its rows are written to the shared folder, and what reads them has no lineage before that.
 
-    Spark's cleaner frees shuffle files and checkpoints only as the driver's JVM collects garbage, which an iterative job
-    hardly makes it do; so each cut asks for a collection.
+    `drop` deletes the rows when a later step has replaced them. Spark's cleaner frees shuffle files only as the driver's JVM
+    collects garbage, which an iterative job hardly makes it do; so each cut asks for a collection.
     """
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = table(df, name, compression="zstd")
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete what `table` or `cut` wrote for these, through Hadoop's file systems. Nothing may read them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write as Parquet in the shared folder under a fresh name and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def parts(spark: SparkSession) -> int:
@@ -95,11 +109,12 @@ def binary_column(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, type=pa.binary())
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_out: Column, most: tuple[int, int]) -> tuple[list[str], np.ndarray, float]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_out: Column, most: tuple[int, int], most_bytes: int = 64_000_000) -> tuple[list[str], np.ndarray, float]:
     """(texts, 0/1 labels, share of label 1 among all learnable labels).
 
-    At most most[y] rows with label y, the lowest by a hash of the id, so the driver holds a bounded number
-    of rows. The share of label 1 covers all learnable rows. Repeated labels: the largest counts.
+    At most most[y] rows with label y, the lowest by a hash of the id, and of those, in that order, what fits most_bytes
+    of text together: the driver holds a bounded sample, whatever the corpus. Texts in it are whole. The share of label 1
+    covers all learnable rows. Repeated labels: the largest counts. Repeated ids: the least text counts, null first.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     lab = lab.where(~held_out & F.col("y").isin(0, 1))
@@ -109,7 +124,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, held_ou
         one = lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         picked = one if picked is None else picked.unionByName(one)
     # at most sum(most) narrow rows, so the broadcast is bounded
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    met = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    held = table(met.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
+    sizes = held.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= most_bytes
+    chosen = {r["doc_id"] for r, fit in zip(sizes, fits, strict=True) if fit}
+    if len(chosen) < len(sizes):
+        held = held.join(F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in chosen], held.select("doc_id").schema)), "doc_id")
+    rows = held.select("doc_id", "text", "y").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     total = sum(shares.values())
-    return [r["text"] or "" for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), (shares.get(1, 0) + 0.5) / (total + 1.0)
+    return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), (shares.get(1, 0) + 0.5) / (total + 1.0)
+
+
+def unique_name(taken: list[str], name: str) -> str:
+    """name, with underscores in front until no column has it (whatever the case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name

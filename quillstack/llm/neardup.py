@@ -7,9 +7,10 @@ probability of the weighted Jaccard similarity. Points come in order of time, an
 
 Documents meet in bands of `rows` slots. In each band all members are compared with the one that meets most neighbours,
 then those still apart with a second leader, then every pair of members from different classes, in blocks that give
-back verified links alone, one for each member and class; no bucket is cut off. Candidates are
-verified on the multisets themselves. Links go through alternating stars to class ids. Everything that grows with the
-corpus stays in DataFrames; hot texts are one node, hot bands are summed before they shuffle.
+back verified links alone, one for each member and class; no bucket is cut off. Candidates are always
+verified on the whole multisets themselves. Links go through alternating stars to class ids. Everything that grows with
+the corpus stays in DataFrames. Hot texts are one node; hot bands are summed before they shuffle, and what is joined back
+to them is a written table, so that Spark can split a hot band's members over tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_map, cut, read
+from quillstack.llm.common import arrow_map, cut, drop, read, unique_name
+from quillstack.llm.graph import components
 from quillstack.llm.langid import letter_table
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
@@ -169,75 +171,64 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def estimates(left: list[bytes], right: list[bytes], most: int = 512, few: int = 200) -> np.ndarray:
-    """Similarities of all pairs of two lists of bags: exact for small bags, else over marks below a bound that leaves `most` of them on average.
-
-    Pairs with a bag of which fewer than `few` marks are left are 1, so that they are compared exactly.
-    """
+def overlaps(left: list[bytes], right: list[bytes], names_at_once: int = 16384) -> np.ndarray:
+    """Exact similarities of all pairs of two lists of bags, over so many different marks at once."""
     own = [np.frombuffer(b, np.uint64) for b in (*left, *right)]
-    mean = max(1.0, float(np.mean([len(b) for b in own])))
-    sampled = mean > most
-    if sampled:
-        bound = np.uint64(int(most / mean * 2**64))
-        own = [b[: np.searchsorted(b, bound)] for b in own]
-    size = np.array([len(b) for b in own])
-    names, column = np.unique(np.concatenate(own), return_inverse=True)
-    row = np.repeat(np.arange(len(own)), size)
-    there = np.zeros((len(own), len(names)), dtype=np.float32)
-    there[row, column] = 1
-    both = there[: len(left)] @ there[len(left) :].T
-    share = both / np.maximum(size[: len(left), None] + size[None, len(left) :] - both, 1)
-    if sampled:
-        share[np.minimum(size[: len(left), None], size[None, len(left) :]) < few] = 1.0
-    return share
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, class) of all nodes of edges(a, b); the class is the component's least node. Alternating large and small stars."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        e = cut(joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("class")).union(e.select(F.col("v").alias("node"), F.col("v").alias("class"))).distinct()
-        seen = now
+    size, n = np.array([len(b) for b in own]), len(left)
+    mark, row = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+    order = np.argsort(mark, kind="stable")
+    mark, row = mark[order], row[order]
+    name = np.cumsum(np.r_[False, mark[1:] != mark[:-1]]) if len(mark) else np.zeros(0, np.int64)
+    # marks of one side alone are in no overlap
+    kinds = int(name[-1]) + 1 if len(name) else 0
+    shared = (np.bincount(name[row < n], minlength=kinds) > 0) & (np.bincount(name[row >= n], minlength=kinds) > 0)
+    keep = shared[name] if len(name) else np.zeros(0, bool)
+    name, row = (np.cumsum(shared) - 1)[name[keep]] if len(name) else name, row[keep]
+    both = np.zeros((n, len(right)), dtype=np.float64)
+    for lo in range(0, int(shared.sum()), names_at_once):
+        a, b = np.searchsorted(name, (lo, lo + names_at_once))
+        there = np.zeros((len(own), names_at_once), dtype=np.float32)
+        there[row[a:b], name[a:b] - lo] = 1
+        both += there[:n] @ there[n:].T
+    return both / np.maximum(size[:n, None] + size[None, n:] - both, 1)
 
 
 class NearDuplicates:
-    """Steps over docs(doc_id, text); `node` is a 64-bit hash of the whole text, so exact copies are one node."""
+    """Steps over docs(doc_id, text). Exact copies are one node: texts are told apart by 128 bits of hash (h1, h2), and each
+    different text has a number `node`, given when the table of nodes is written."""
 
     def __init__(self, docs: DataFrame, least: float = SIMILARITY):
         self.least = least
-        self.texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64(F.lit(29), "text"))
+        self.texts = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
         def rows(batch) -> dict:
             sig = _signed(batch.column("text").to_pylist())
             # a text without words has no points and meets no other; its copies are its node already
             bare = np.isinf(sig).all(axis=1)
-            return {"node": batch.column("node"), "doc_id": batch.column("doc_id"), "bands": [k[:0] if b else k for k, b in zip(band_keys(sig), bare, strict=True)]}
-
-        self.signed = cut(arrow_map(self.texts, rows, "node long, doc_id long, bands array<long>"))
-        one = self.signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-        self.members = one.select("node", F.explode("bands").alias("band"))
-        shared = self.members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-        met = cut(self.members.join(shared, "band").select("band", "node", "size"))
+            return {"h1": batch.column("h1"), "h2": batch.column("h2"), "doc_id": batch.column("doc_id"), "bands": [k[:0] if b else k for k, b in zip(band_keys(sig), bare, strict=True)]}
+
+        signed = arrow_map(self.texts, rows, "h1 long, h2 long, doc_id long, bands array<long>")
+        one = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("exact"), F.first("bands").alias("bands"))
+        self.nodes = cut(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        members = self.nodes.select("node", F.explode("bands").alias("band"))
+        shared = cut(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        met = cut(members.join(shared, "band").select("band", "node", "size"), "met")
+        drop(shared)
         # a text that others were copied from keeps the smallest points of all of them, so it meets most neighbours
-        weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
-        leader = met.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-        self.banded = cut(met.join(leader, "band").select("band", "node", "leader", "size"))
-        wanted = self.banded.select("node").distinct().join(one.select("node", "rep"), "node")
+        weight = cut(met.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
+        leaders = cut(met.join(weight, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader")), "leaders")
+        self.banded = cut(met.join(leaders, "band").select("band", "node", "leader", "size"), "banded")
+        wanted = self.nodes.select("node", "h1", "h2", "rep").join(weight.select("node"), "node")
+        # a bitmap of fixed size tells most texts that meet no other before they would be moved; copies go by their own ids
+        bits = marks(wanted.select("h1"))
+        near = marked(self.texts, bits).withColumnsRenamed({"h1": "t1", "h2": "t2", "doc_id": "own"})
+        chosen = near.join(wanted, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("own").eqNullSafe(F.col("rep"))).select("node", "text")
 
         def packed(batch) -> dict:
             return {"node": batch.column("node"), "bag": bags(batch.column("text").to_pylist())}
 
-        chosen = self.texts.join(wanted.withColumnRenamed("node", "n2"), (F.col("node") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-        self.bags = cut(arrow_map(chosen, packed, "node long, bag binary").dropDuplicates(["node"]))
+        self.bags = cut(arrow_map(chosen, packed, "node long, bag binary").dropDuplicates(["node"]), "bags")
+        drop(met, weight, leaders)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that reach the similarity, from their multisets."""
@@ -256,21 +247,32 @@ class NearDuplicates:
     def _mixed(self, classes: DataFrame) -> DataFrame:
         """Members (band, node, class, size) of the bands that still hold more than one class."""
         now = self.banded.join(classes, "node", "left").select("band", "node", F.coalesce("class", "node").alias("class"))
-        several = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
-        return cut(now.join(several, "band"))
+        several = cut(now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size"), "several")
+        mixed = cut(now.join(several, "band"), "mixed")
+        drop(several)
+        return mixed
 
-    def links(self) -> DataFrame:
-        """(a, b, similarity): verified links that connect whatever shares a band, within and between all classes."""
-        first = cut(self.verified(self.banded.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))))
-        found, classes = first, components(first)
+    def classes(self) -> DataFrame:
+        """(node, class) of linked nodes: verified links connect whatever shares a band, within and between all classes."""
+        first = cut(self.verified(self.banded.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))), "first")
+        classes = components(first.select("a", "b"))
         mixed = self._mixed(classes)
-        second = mixed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band"), "node", "class")).alias("to"))
+        second = cut(mixed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band"), "node", "class")).alias("to")), "second")
         pairs = mixed.join(second, "band").where("class <> to.class").select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b"))
-        more = cut(self.verified(pairs))
-        found, classes = found.union(more), components(found.union(more))
+        more = cut(self.verified(pairs), "more")
+        drop(second, mixed, classes)
+        found = first.union(more).select("a", "b")
+        classes = components(found)
         mixed = self._mixed(classes)
-        rest = cut(self.verified(self._few_apart(mixed)).union(self._many_apart(mixed)))
-        return found.union(rest)
+        rest = cut(self.verified(self._few_apart(mixed)).union(self._many_apart(mixed)), "rest")
+        drop(mixed)
+        if rest.isEmpty():
+            drop(first, more, rest)
+            return classes
+        drop(classes)
+        classes = components(found.union(rest.select("a", "b")))
+        drop(first, more, rest)
+        return classes
 
     def _few_apart(self, mixed: DataFrame, small: int = 12) -> DataFrame:
         """All pairs (a, b) of different classes in bands of at most `small` members."""
@@ -283,8 +285,8 @@ class NearDuplicates:
         least = self.least
         many = mixed.where(F.col("size") > small).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
         many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        keys = self.signed.select("node", F.col("bands").alias("bands")).join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
-        dealt = many.join(keys, "node").join(self.bags, "node").select("band", "node", "class", "bands", "bag", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        members = many.join(self.nodes.select("node", "bands"), "node").join(self.bags, "node")
+        dealt = members.select("band", "node", "class", "bands", "bag", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
         def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -301,56 +303,87 @@ class NearDuplicates:
                 apart = np.triu(apart, 1)
             for k in range(earlier):
                 apart &= kx[:, k][:, None] != ky[:, k][None, :]
-            bx, by = x["bag"].tolist(), y["bag"].tolist()
-            likely = apart & (estimates(bx, by) >= least - 0.12) if apart.any() else apart
+            share = overlaps(x["bag"].tolist(), y["bag"].tolist()) if apart.any() else np.zeros(apart.shape)
             nx, ny, done, out = x["node"].to_numpy(), y["node"].to_numpy(), set(), []
-            for i, j in zip(*np.nonzero(likely), strict=True):
+            for i, j in zip(*np.nonzero(apart & (share >= least)), strict=True):
                 if (nx[i], cy[j]) in done or (ny[j], cx[i]) in done:
                     continue
-                share = similarity(bx[i], by[j])
-                if share >= least:
-                    done |= {(nx[i], cy[j]), (ny[j], cx[i])}
-                    out.append((min(nx[i], ny[j]), max(nx[i], ny[j]), share))
+                done |= {(nx[i], cy[j]), (ny[j], cx[i])}
+                out.append((min(nx[i], ny[j]), max(nx[i], ny[j]), share[i, j]))
             return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
         return dealt.groupBy("band", "lo", "hi").applyInPandas(compare, "a long, b long, similarity double")
 
-    def classes(self) -> DataFrame:
-        """(node, class) of linked nodes, and the links themselves."""
-        return components(cut(self.links()))
+
+def keyed(docs: DataFrame, text: str = "text", h1: str = "h1", h2: str = "h2") -> DataFrame:
+    """docs with 128 bits of hash of the text (null: empty)."""
+    whole = F.coalesce(text, F.lit(""))
+    return docs.withColumns({h1: F.xxhash64(F.lit(29), whole), h2: F.xxhash64(F.lit(31), whole)})
+
+
+#: Bits of the bitmaps that are sent to all tasks, as buckets of Spark's bitmap functions (32768 bits each): two megabytes.
+BITMAP_BUCKETS = 512
+
+
+def marks(hashes: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of fixed size of the only column of hashes."""
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(BITMAP_BUCKETS * 32768))
+    placed = hashes.select(F.floor(place / 32768).cast("int").alias("bucket"), (place % 32768).alias("at"))
+    return cut(placed.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), "bitmap")
+
+
+def marked(df: DataFrame, bits: DataFrame, column: str = "h1") -> DataFrame:
+    """The rows of df whose hash is in the bitmap, and some others; at most BITMAP_BUCKETS rows of 4 kB are broadcast."""
+    place = F.pmod(F.col(column), F.lit(BITMAP_BUCKETS * 32768))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(floor(__at / 8) as int) + 1, 1)")), 16, 10).cast("int")
+    dealt = df.withColumns({"__at": place % 32768, "bucket": F.floor(place / 32768).cast("int")})
+    return dealt.join(F.broadcast(bits), "bucket").where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).drop("bucket", "bits", "__at")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the class's least doc_id), keep (whether it is the row that stays), exact (copies of its text),
-    texts (different ones in its class), node and class (hashes; classes may share their least doc_id).
+    texts (different ones in its class), h1 and h2 (its text's hash), class (a number; classes may share their least doc_id).
 
-    Null and empty texts count as copies of one another; other texts without words are like equal ones only. Null ids sort last; of rows with the kept id one stays.
+    Null and empty texts count as copies of one another; other texts without words are like equal ones only. Null ids sort
+    last; of rows with the kept id one stays. Texts of any length are compared whole. An empty table gives no rows.
     """
     steps = NearDuplicates(docs, least)
     classes = steps.classes()
-    grouped = steps.signed.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("exact"))
-    named = grouped.join(classes, "node", "left").select("node", "rep", "exact", F.coalesce("class", "node").alias("class"))
-    heads = named.groupBy("class").agg(F.min("rep").alias("class_id"), F.count("*").alias("texts"))
-    named = named.join(heads, "class").select("node", "rep", "class", "class_id", "exact", "texts")
-    return steps.signed.select("node", "doc_id").join(named, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), "exact", "texts", "node", "class")
+    named = steps.nodes.select("node", "h1", "h2", "rep", "exact").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).drop("node")
+    # a text alone in its class needs no other row to know its class's least id
+    heads = classes.join(steps.nodes.select("node", "rep"), "node").groupBy("class").agg(F.min("rep").alias("least"), F.count("*").alias("texts"))
+    named = named.join(heads, "class", "left").withColumns({"class_id": F.when(F.col("texts").isNull(), F.col("rep")).otherwise(F.col("least")), "texts": F.coalesce("texts", F.lit(1))})
+    known = named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "class", "class_id", "exact", "texts")
+    # exact copies of one text may be a third of all rows; their ids are all that is moved
+    rows = steps.texts.select("doc_id", "h1", "h2").join(cut(known, "known"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"), "exact", "texts", "h1", "h2", "class")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs, all columns, with one row of each class: the one with the least id; of rows equal in id and text one stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), least)
-    gone = found.where(~F.col("keep")).select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
-    marked = docs.withColumn("__own", F.xxhash64(F.lit(29), F.coalesce("text", F.lit(""))))
-    left = marked.join(gone, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    # a class keeps several rows only if they share its least id, null or repeated; unlike texts under one id are of different classes
-    held = found.where("keep").select("class", "node")
-    several = held.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("__least")).where("n > 1").select("class", "__least")
-    again = cut(held.distinct().join(several, "class").select(F.col("node").alias("__again"), "__least"))
-    if again.isEmpty():
-        return left.drop("__own")
-    one = left.join(again, F.col("__own") == F.col("__again")).where("__own = __least").dropDuplicates(["__own"]).select(docs.columns)
-    rest = left.join(again, F.col("__own") == F.col("__again"), "left_anti").select(docs.columns)
-    return rest.unionByName(one)
+    """docs, all columns, with one row of each class: the one with the least id; of rows equal in id and text one stays.
+
+    Extra columns stay as they are and may have any name.
+    """
+    steps = NearDuplicates(docs.select("doc_id", "text"), least)
+    classes = steps.classes()
+    # of each class one node, by least id (null last) and number
+    rank = F.struct(F.col("rep").isNull().alias("none"), "rep", "node")
+    heads = classes.join(steps.nodes.select("node", "rep"), "node").groupBy("class").agg(F.min(rank).alias("head"))
+    linked = classes.join(heads, "class").where(F.col("node") != F.col("head.node")).select("node")
+    kept = steps.nodes.join(linked, "node", "left_anti").select("h1", "h2", "rep", "exact")
+    names = {c: unique_name(docs.columns, f"__{c}") for c in ("h1", "h2", "k1", "k2", "rep", "exact")}
+    kept = cut(kept.select(F.col("h1").alias(names["k1"]), F.col("h2").alias(names["k2"]), F.col("rep").alias(names["rep"]), F.col("exact").alias(names["exact"])), "kept")
+    own = keyed(docs, "text", names["h1"], names["h2"])
+    same = (F.col(names["h1"]) == F.col(names["k1"])) & (F.col(names["h2"]) == F.col(names["k2"])) & F.col("doc_id").eqNullSafe(F.col(names["rep"]))
+    left = own.join(kept, same)
+    # only a text with copies can be there twice with its kept id; most corpora have no such rows
+    copies = own.select("doc_id", names["h1"], names["h2"]).join(kept.where(F.col(names["exact"]) > 1), same).groupBy(names["k1"], names["k2"]).agg(F.count("*").alias("n")).where("n > 1")
+    if cut(copies, "repeated").isEmpty():
+        return left.select(docs.columns)
+    alone = left.where(F.col(names["exact"]) == 1).select(docs.columns)
+    return alone.unionByName(left.where(F.col(names["exact"]) > 1).dropDuplicates([names["k1"], names["k2"]]).select(docs.columns))
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("node", "class")
+    """One row a document: doc_id, class_id, keep, exact, texts (see near_duplicates for nulls, empty texts, ties and repeated rows)."""
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2", "class")

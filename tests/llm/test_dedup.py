@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstack.llm import linededup, neardup, suffix
+from quillstack.llm.graph import components
 
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor "
 
@@ -151,19 +152,23 @@ def test_large_bands_are_searched_in_place(spark):
     assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == brute_classes(rows)
 
 
-def test_estimates_leave_small_bags_to_the_exact_overlap():
+def test_overlaps_of_bags_of_any_size_are_exact():
+    """Bags of 10 to 60000 marks in one block: every pair's share is that of the pair alone."""
     rng = np.random.default_rng(3)
-    bag = lambda n: np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-    small = [bag(150) for _ in range(40)]
-    near = [np.sort(np.r_[b[rng.permutation(150)[:135]], bag(15)]) for b in small]
-    got = neardup.estimates([*(b.tobytes() for b in small), bag(60000).tobytes()], [*(b.tobytes() for b in near), *(bag(60000).tobytes() for _ in range(40))])
-    assert all(got[i, i] >= 0.68 for i in range(40))
-    assert (got[40, 40:] < 0.1).all()
+    bag = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    left = [bag(n) for n in (10, 150, 150, 3000, 60000)] + [bag(0)]
+    right = [np.unique(np.r_[b[: len(b) * 9 // 10], bag(len(b) // 10)]) for b in left] + [bag(400)]
+    got = neardup.overlaps([b.tobytes() for b in left], [b.tobytes() for b in right], 1000)
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            if len(x) and len(y):
+                assert got[i, j] == pytest.approx(neardup.similarity(x.tobytes(), y.tobytes()))
 
 
 def test_components_of_a_long_path(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {(r["node"], r["class"]) for r in neardup.components(edges).collect()} == {(i, 0) for i in range(41)}
+    for each in (1, 1000):  # dealt to many tasks, or in one
+        assert {(r["node"], r["class"]) for r in components(edges, each).collect()} == {(i, 0) for i in range(41)}
 
 
 def distance(a, b):
