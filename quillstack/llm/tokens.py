@@ -158,16 +158,16 @@ class UnitEncoder:
             plain = text.replace("\n", "").isprintable() and not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text)
             pieces = text.split(" ") if plain else self.cut.split(text)
             if len(pieces) > 1:
-                # a text's first unit has no space before it; \0 keeps the two kinds of key apart
-                pieces[0] = "\0" + pieces[0]
+                # a text's first unit has no space before it; a tuple keeps the two kinds of key apart, whatever characters they hold
+                pieces[0] = (pieces[0],)
                 got = np.fromiter(map(self.units.__getitem__, pieces), dtype=np.int64, count=len(pieces))
             else:
-                got = np.array([self.units["\0" + pieces[0]]], dtype=np.int64)
+                got = np.array([self.units[pieces[0],]], dtype=np.int64)
             index.append(got)
             counts[i] = len(got)
         if len(self.units) > self.known:
             fresh = list(self.units)[self.known :]
-            ids = self._units_to_ids([k[1:] if k[:1] == "\0" else " " + k for k in fresh])
+            ids = self._units_to_ids([k[0] if isinstance(k, tuple) else " " + k for k in fresh])
             self.sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
             self.flat.append(np.fromiter((x for one in ids for x in one), dtype=np.uint32))
             self.known = len(self.units)
@@ -288,4 +288,9 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
 
 def op2_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document, read back from the files: doc_id, start, n_tokens (with the end id), ids_crc32.
+
+    A null or empty text has the end id alone. Null ids come last; rows with equal ids are ordered by text, so that equal
+    rows are alike but for their start. Texts of any length are whole. An empty table gives no rows.
+    """
     return read_tokens(write_tokens(read(spark, sf_dir, "documents")))
