@@ -75,12 +75,18 @@ class QualityModel:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def vote(self, vectors: np.ndarray, block: int = 1024) -> np.ndarray:
-        """The weighted share of label 1 among the k most similar labelled rows; equal similarities go to the earlier row."""
+        """The weighted share of label 1 among the k most similar labelled rows; equal similarities go to the earlier row.
+
+        Similarities are compared as multiples of 2^-20, so that rounding in the product doesn't tell copies apart.
+        """
         out = np.full(len(vectors), self.prior)
-        k = min(self.k, len(self.vectors))
+        n, k = len(self.vectors), min(self.k, len(self.vectors))
         for at in range(0, len(vectors) if k else 0, block):
-            near = vectors[at : at + block] @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            near = np.rint(vectors[at : at + block] @ self.vectors.T * (1 << 20)).astype(np.int64)
+            # the row's number below the similarity makes all keys different and the earlier row the larger one
+            keys = near * n + np.arange(n - 1, -1, -1)
+            top = np.sort(np.argpartition(-keys, k - 1, axis=1)[:, :k], axis=1)
+            near = near / (1 << 20)
             weight = np.maximum(np.take_along_axis(near, top, axis=1), 0.0) ** 2 * self.weights[top]
             total = weight.sum(axis=1)
             out[at : at + block] = np.where(total > 0, (weight * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-12), self.prior)
@@ -134,6 +140,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted.
+
+    A null text counts as empty; an empty one is compared like any other. A null id is not held out unless the crc of the
+    empty text says so, and has no label. Repeated rows score alike. Without any labels all scores are the prior, one half.
+    """
     docs = read(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
     model = fit(docs, read(spark, sf_dir, "labels"), held_out)
