@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_map, fold, read
+from quillstack.llm.common import arrow_map, cut, drop, fold, read
 
 BUCKETS = 1 << 16
 #: First code points of script ranges (fixed values of the Unicode standard) and the script that starts there; 0 is none of its own.
@@ -63,7 +63,7 @@ class LanguageModel:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray, smooth: float = 0.5, rare: float = 0.01):
         self.langs = langs
-        totals = counts.sum(axis=1, keepdims=True)
+        totals = counts.sum(axis=1, keepdims=True, dtype=np.float64)
         self.logp = np.log((counts + smooth) / (totals + smooth * BUCKETS)).astype(np.float32)
         # a script belongs to the languages that have over `rare` of their letters in it; an unseen one to all
         shares = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
@@ -71,67 +71,80 @@ class LanguageModel:
         self.allowed[~self.allowed.any(axis=1)] = True
 
     def word_scores(self, w: dict[str, np.ndarray], off: float = -1e6) -> np.ndarray:
-        """(words x languages)"""
-        out = np.empty((len(w["size"]), len(self.langs)), dtype=np.float32)
-        for k in range(len(self.langs)):
-            out[:, k] = np.add.reduceat(self.logp[k][w["code"]], w["first"]) if len(out) else 0
-        mask = self.allowed[w["script"]] if len(out) else self.allowed[:0]
-        return np.where(mask, out, out + np.float32(off))
-
-
-def viterbi(scores: np.ndarray, begin: np.ndarray, n: np.ndarray, switch: float, block: int = 512) -> np.ndarray:
-    """The best label of each word. Documents (first word, number of words) of like length go word by word together."""
-    labels = np.zeros(len(scores), dtype=np.int16)
+        """(languages x words)"""
+        out = np.empty((len(self.langs), len(w["size"])), dtype=np.float32)
+        for k in range(len(self.langs)) if len(w["size"]) else ():
+            np.add.reduceat(self.logp[k][w["code"]], w["first"], out=out[k])
+            out[k][~self.allowed[:, k][w["script"]]] += np.float32(off)
+        return out
+
+
+def viterbi(scores: np.ndarray, begin: np.ndarray, n: np.ndarray, switch: float, block: int = 1024) -> np.ndarray:
+    """The best label of each word from scores (languages x words). Documents (first word, number of words) of like length go
+    word by word together. What is held for the way back is a number a word and language, whatever the lengths."""
+    labels = np.zeros(scores.shape[1], dtype=np.int16)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
+    kind = np.uint8 if len(scores) <= 256 else np.uint16
     for at in range(0, len(order), block):
         docs = order[at : at + block]
         first, size = begin[docs], n[docs]
         longest = int(size[0])
-        best = scores[first].astype(np.float64)
-        came = np.zeros((longest, len(docs), scores.shape[1]), dtype=np.int8 if scores.shape[1] < 128 else np.int16)
-        live_at = np.searchsorted(-size, -np.arange(longest), side="left")  # documents with a word at each step
+        best = scores[:, first].astype(np.float64)
+        live_at = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # documents with a word at each step
+        tops, stays = [], []
         for step in range(1, longest):
             live = live_at[step]
-            top = best[:live].argmax(axis=1)
-            jump = best[np.arange(live), top] - switch
-            stay = best[:live] >= jump[:, None]
-            came[step, :live] = np.where(stay, np.arange(scores.shape[1]), top[:, None])
-            best[:live] = np.where(stay, best[:live], jump[:, None]) + scores[first[:live] + step]
-        state = best.argmax(axis=1)
+            now = best[:, :live]
+            tops.append(now.argmax(axis=0).astype(kind))
+            jump = now.max(axis=0) - switch
+            stays.append(np.packbits(now >= jump, axis=0))
+            np.maximum(now, jump, out=now)
+            now += scores[:, first[:live] + step]
+        state = best.argmax(axis=0)
         labels[first + size - 1] = state
         for step in range(longest - 1, 0, -1):
             live = live_at[step]
-            state[:live] = came[step, np.arange(live), state[:live]]
+            own = state[:live]
+            stay = (stays[step - 1][own >> 3, np.arange(live)] >> (7 - (own & 7))) & 1
+            state[:live] = np.where(stay == 1, own, tops[step - 1])
             labels[first[:live] + step - 1] = state[:live]
     return labels
 
 
-def fit(docs: DataFrame, known: Column, max_languages: int = 64) -> LanguageModel:
-    """Trigram counts over all rows for which `known` holds and lang is not null. Only languages x buckets counts reach the driver."""
+def fit(docs: DataFrame, known: Column, at_once: int = 32) -> LanguageModel:
+    """Trigram counts over all rows for which `known` holds and lang is not null.
+
+    Only languages x buckets counts reach the driver, those of `at_once` languages at a time; the model takes a quarter of a
+    megabyte a language.
+    """
     rows_in = docs.where(known & F.col("lang").isNotNull()).select("lang", "text")
-    langs = sorted(r["lang"] for r in rows_in.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(langs) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    langs = sorted(r["lang"] for r in rows_in.select("lang").distinct().collect())
+
+    number = {x: k for k, x in enumerate(langs)}
 
     def rows(batch) -> dict | None:
-        own = np.array(batch.column("lang").to_pylist(), dtype=object)
+        own: dict[str, list] = {}
         out: dict[str, list] = {"lang": [], "kind": [], "at": [], "n": []}
-        texts = batch.column("text").to_pylist()
-        for k, lang in enumerate(langs):
-            w = words_of([t for t, x in zip(texts, own, strict=True) if x == lang])
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own.setdefault(lang, []).append(text)
+        for lang, texts in own.items():
+            k, w = number[lang], words_of(texts)
             for kind, n in ((0, np.bincount(w["code"], minlength=1)), (1, np.bincount(w["script"], weights=w["size"], minlength=1).astype(np.int64))):
                 at = np.flatnonzero(n)
                 for name, part in (("lang", np.full(len(at), k)), ("kind", np.full(len(at), kind)), ("at", at), ("n", n[at])):
                     out[name].append(part)
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    counts, scripts = np.zeros((max(1, len(langs)), BUCKETS)), np.zeros((max(1, len(langs)), int(_KINDS.max()) + 1))
+    counts, scripts = np.zeros((max(1, len(langs)), BUCKETS), np.float32), np.zeros((max(1, len(langs)), int(_KINDS.max()) + 1))
     if langs:
-        got = arrow_map(rows_in, rows, "lang int, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
-        lang, kind, at, n = (got.column(c).to_numpy() for c in ("lang", "kind", "at", "n"))
-        counts[lang[kind == 0], at[kind == 0]] = n[kind == 0]
-        scripts[lang[kind == 1], at[kind == 1]] = n[kind == 1]
+        summed = cut(arrow_map(rows_in, rows, "lang int, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")), "counts")
+        for lo in range(0, len(langs), at_once):
+            got = summed.where(F.col("lang").between(lo, lo + at_once - 1)).toArrow()
+            lang, kind, at, n = (got.column(c).to_numpy() for c in ("lang", "kind", "at", "n"))
+            counts[lang[kind == 0], at[kind == 0]] = n[kind == 0]
+            scripts[lang[kind == 1], at[kind == 1]] = n[kind == 1]
+        drop(summed)
     return LanguageModel(langs or ["und"], counts, scripts)
 
 
@@ -165,9 +178,10 @@ def label(docs: DataFrame, model: LanguageModel, switch: float = 12.0) -> DataFr
     def rows(batch) -> dict:
         out: dict = {"lang_pred": [], "score": [], "spans": []}
         texts, at = batch.column("text").to_pylist(), 0
-        while at < len(texts):  # a quarter of a million characters together
+        most = max(100_000, 1_000_000 // max(1, len(shared.value.langs) // 8))
+        while at < len(texts):  # so many characters together, fewer if there are many languages; a longer text alone
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 250_000):
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= most):
                 size += len(texts[end] or "")
                 end += 1
             some(texts[at:end], out)
@@ -178,6 +192,10 @@ def label(docs: DataFrame, model: LanguageModel, switch: float = 12.0) -> DataFr
 
 
 def op9_lang_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, held_out, lang_pred, score, n_spans (see label for null, empty and very long texts and ties).
+
+    Repeated rows are alike. Without any learnable row every text is `und`.
+    """
     docs = read(spark, sf_dir, "documents")
     out = label(docs, fit(docs, fold("doc_id", 4) != 2))
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -126,12 +126,35 @@ def brute_tiles(item, text, least):
             used_p[p + i] = used_t[t + i] = True
 
 
+def test_zero_characters_after_a_space():
+    for text in ("hello \0abc world", "a b \0", "\0 \0\0 a", "\0a a \0a", " \0"):
+        ids, _ = tokens.UnitEncoder(tokens.default_tokenizer()).encode([text, text])
+        assert ids.tolist() == library_once().encode(text, add_special_tokens=False).ids * 2
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=40))
 def test_tiling_is_greedy(item, text):
     least = 3
     pairs = [(p, t) for p in range(len(item) - 2) for t in range(len(text) - 2) if item[p : p + 3] == text[t : t + 3]]
-    assert decontam.tile(np.array(item), np.array(text), pairs, least) == brute_tiles(item, text, least)
+    runs = decontam.diagonals(*(np.array([x[k] for x in pairs], dtype=np.int64) for k in (0, 1)), least)
+    own, other = np.array(item, dtype=np.int64), np.array(text, dtype=np.int64)
+    assert decontam.tile(own, other, runs, least) == brute_tiles(item, text, least)
+    assert sorted(zip(*(x.tolist() for x in decontam.swept(own, other, least)), strict=True)) == sorted(zip(*(x.tolist() for x in runs), strict=True))
+
+
+def test_one_word_repeated_in_item_and_text():
+    """A list of seeds would hold 150 million pairs."""
+    index = decontam.build([(1, "word " * 3000), (2, "other words than these here")])
+    assert index.matches("word " * 50_000, 0.5) == [(1, 1.0, [(0, 0, 3000)])]
+
+
+def test_short_items_match_whole():
+    index = decontam.build([(1, "one"), (2, "Two words"), (3, "a b c d"), (4, "a b c d e"), (5, "")])
+    found = lambda text: [(i, tiles) for i, _, tiles in index.matches(text, 0.5)]
+    assert found("x a b c d") == [(3, [(0, 1, 4)])]
+    assert found("two, words; one a b c") == [(1, [(0, 2, 1)]), (2, [(0, 0, 2)])]
+    assert found("words two") == [] and found("") == [] and found("a b c d e") == [(3, [(0, 0, 4)]), (4, [(0, 0, 5)])]
 
 
 def test_reordered_passages_are_caught(spark):
@@ -142,7 +165,8 @@ def test_reordered_passages_are_caught(spark):
     docs = [(1, "x " + items[3][1].upper() + "! y"), (2, " ".join(a[12:] + ["between"] + a[:12])), (3, " ".join(a[:9])), (4, None), (5, ""), (6, "clean words " * 5000), (None, items[7][1]), (8, items[3][1] + " " + items[5][1]), (9, items[-1][1])]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, item_id int, tiles string")
     for size in (16_000_000, 200):
-        found = decontam.indexes(spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+        found = list(decontam.indexes(spark.createDataFrame(items, "item_id long, text string"), block_bytes=size))
+        assert (len(found) > 3) == (size == 200)
         got = sorted([(r["doc_id"], r["item_id"], r["coverage"]) for r in decontam.leaks(df, found).collect()], key=repr)
         assert got == sorted([(1, 3, 1.0), (2, 4, 1.0), (None, 7, 1.0), (8, 3, 1.0), (8, 5, 1.0), (9, None, 1.0)], key=repr)
         kept = decontam.clean(df, found)

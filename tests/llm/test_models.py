@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.llm import langid, quality, toxicity
-from quillstack.llm.common import fold
+from quillstack.llm.common import fold, labelled_sample
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -94,7 +94,7 @@ def test_viterbi_is_the_best_path():
     scores, switch = rng.normal(size=(40, 3)).astype(np.float32), 1.5
     n = np.array([7, 1, 0, 5, 7, 20])
     begin = np.cumsum(n) - n
-    got = langid.viterbi(scores, begin, n, switch)
+    got = langid.viterbi(scores.T, begin, n, switch)
     value = lambda s, path: sum(s[i, k] for i, k in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:], strict=False))
     from itertools import product
 
@@ -109,3 +109,60 @@ def test_languages_of_odd_texts(spark):
     assert langid.label(odd(spark), langid.fit(train, F.lit(True))).count() == len(ODD)
     none = langid.fit(train.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in langid.label(odd(spark), none).collect()} == {"und"}
+
+
+def test_seventy_languages(spark):
+    """More languages than any list of 64 holds, in several blocks; the spans' codes need more than eight bits of flags."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(70):
+        letters = list(rng.choice(list("abcdefghijklmnoprstuvz"), 6, replace=False))
+        rows.append((i, f"l{i:02d}", " ".join("".join(rng.choice(letters, 6)) for _ in range(300))))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = langid.label(docs, langid.fit(docs, F.lit(True))).join(docs, "doc_id")
+    assert got.where("lang = lang_pred").count() >= 69
+
+
+def test_one_long_text_beside_short_ones_needs_little_memory():
+    """Two million words beside 400 short texts, as one call gets them."""
+    import tracemalloc
+
+    words = np.full(401, 5)
+    words[7] = 2_000_000
+    begin = np.cumsum(words) - words
+    scores = np.random.default_rng(2).normal(size=(4, int(words.sum()))).astype(np.float32)
+    tracemalloc.start()
+    labels = langid.viterbi(scores[:, : 200_000 + 2000], np.minimum(begin, 200_000), np.minimum(words, 200_000), 3.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 202_000 and peak < 100_000_000
+
+
+def test_votes_go_to_the_nearest_and_of_equal_ones_to_the_earlier():
+    """Exhaustive search over vectors with many exact copies."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 5)).astype(np.float32)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for turn in range(100):
+        vectors, labels, weights = base[rng.integers(0, 12, 40)], rng.integers(0, 2, 40), rng.uniform(0.5, 2, 40)
+        model = quality.QualityModel(np.ones(1), np.zeros((1, 1)), vectors, labels, weights, 1 + turn % 9, 0.3)
+        asked = rng.normal(size=(6, 5)).astype(np.float32)
+        asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+        for x, got in zip(asked, model.vote(asked), strict=True):
+            near = [round(float(v @ x) * (1 << 20)) for v in vectors]
+            order = sorted(range(40), key=lambda i: (-near[i], i))[: model.k]
+            weight = np.array([max(float(vectors[i] @ x), 0.0) ** 2 * weights[i] for i in order])
+            want = (weight * labels[order]).sum() / weight.sum() if weight.sum() > 0 else 0.3
+            assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_labelled_samples_are_bounded(spark):
+    """An id that holds thousands of rows gives one; bytes are bounded too."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(i, "x" * 100) for i in range(2, 40)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(None, 1)], "doc_id long, toxic int")
+    texts, y, prior = labelled_sample(docs, labels, "toxic", F.lit(False), (10, 10))
+    assert len(texts) == len(y) <= 20 and prior == pytest.approx(30.5 / 60)
+    texts, y, _ = labelled_sample(docs, labels, "toxic", F.lit(False), (100, 100))
+    assert len(texts) == 40 and texts[0] == "text 0" and "" in texts
+    texts, y, _ = labelled_sample(docs, labels, "toxic", F.lit(False), (100, 100), most_bytes=1000)
+    assert 5 <= len(texts) <= 15 and len(y) == len(texts)
