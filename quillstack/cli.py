@@ -14,7 +14,7 @@ from quillstack.sources.config import load_config
 from quillstack.sources.delimited import read_delimited
 from quillstack.sources.ingest import Ingestor
 from quillstack.sources.manifest import Manifest
-from quillstack.sources.publish import latest, read_json
+from quillstack.sources.publish import latest, read_json, stamped
 
 
 def main(args: list[str] | None = None) -> int:
@@ -54,8 +54,9 @@ def main(args: list[str] | None = None) -> int:
     else:
         report = profile.profile_report(df, config.metadata_fields or [], read_json(side, "selection_fingerprint") if side else None)
         (home / "reports").mkdir(exist_ok=True)
-        (home / "reports" / "profile.md").write_text(report, "utf-8")
-        print(home / "reports" / "profile.md")
+        path = stamped(home / "reports" / "profile.md")
+        path.write_text(report, "utf-8")
+        print(path)
     return 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.functions.text import fold_evaluation
+from quillstack.functions.text import fold_evaluation, shown_value
 
 KEYS = ["need_id", "doc_id"]
 CAP, TOP, DEPTH, BROAD = 67, 5, 50, 0.5
@@ -53,6 +53,12 @@ def overlaps(origins: DataFrame) -> DataFrame:
     return origins.agg(F.count_if(v & h).alias("n_vector_hybrid"), F.count_if((v | h) & u).alias("n_top_strict"), F.count_if((v | h) & r).alias("n_top_reference"), F.count_if(u & r).alias("n_strict_reference"))
 
 
+def source_counts(origins: DataFrame) -> DataFrame:
+    """(need_id, n_pairs, and for each source how many pairs it gave); a pair counts for each of its sources."""
+    flags = ("is_top_vector", "is_top_hybrid", "is_strict", "is_reference")
+    return origins.groupBy("need_id").agg(F.count("*").alias("n_pairs"), *(F.count_if(f).alias(f"n{f.removeprefix('is')}") for f in flags))
+
+
 def repeated_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -79,9 +85,11 @@ def batches(pairs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def with_documents(pairs: DataFrame, corpus: DataFrame, columns: list[str], excerpt: int = 2500, absent: str = "(outside the selection)") -> DataFrame:
-    """pairs with excerpts of the first row of each document; a placeholder where there is none."""
-    first = corpus.groupBy("doc_id").agg(*(F.min(F.col(c).cast("string")).alias(c) for c in columns), F.lit(True).alias("__in"))
-    return pairs.join(first, "doc_id", "left").select(*pairs.columns, *(F.when(F.col("__in"), F.substring(c, 1, excerpt)).otherwise(absent).alias(c) for c in columns))
+    """pairs with excerpts of each document's fields, as shown values, and their whole lengths (column__length); a placeholder where the document isn't there."""
+    known = corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = known.groupBy("doc_id").agg(*(F.min(shown_value(F.col(c).cast("string"))).alias(c) for c in columns), F.lit(True).alias("__in"))
+    cells = [x for c in columns for x in (F.when(F.col("__in"), F.substring(c, 1, excerpt)).otherwise(absent).alias(c), F.length(c).alias(f"{c}__length"))]
+    return pairs.join(first, "doc_id", "left").select(*pairs.columns, *cells)
 
 
 def register(pairs: DataFrame) -> DataFrame:

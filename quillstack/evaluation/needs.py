@@ -7,11 +7,12 @@ from enum import StrEnum
 from pathlib import Path
 
 import yaml
-from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
+from pydantic import BaseModel, ConfigDict, Field, ValidationInfo, field_validator, model_validator
 from pyspark.sql import DataFrame, SparkSession
 
 FORMULATIONS = ("direct", "paraphrase", "verbose")
-#: Metadata fields a condition may name, unless the sheet's reader gets others.
+#: Metadata fields a condition may name, unless the sheets' reader is given others (fixed values).
+METADATA_FIELDS = ("COLEGIADO", "RELATOR", "TIPOPROCESSO", "DATASESSAO", "ENTIDADE", "UNIDADETECNICA")
 NEED_ID, FINGERPRINT = re.compile(r"NI-[0-9]{3}"), re.compile(r"[0-9a-f]{64}")
 
 
@@ -21,19 +22,32 @@ class Nature(StrEnum):
     MIXED = "mixed"
 
 
+class Basis(StrEnum):
+    """What a condition is about."""
+
+    METADATA = "metadata"
+    TEXTUAL = "textual"
+
+
 class Cardinality(StrEnum):
     SINGLE = "single"
     ENUMERATION = "enumeration"
     MULTIDOCUMENT = "multidocument"
 
 
+#: Answers that several documents make up together.
+SEVERAL = (Cardinality.ENUMERATION, Cardinality.MULTIDOCUMENT)
+#: Parts that a sheet must have by its status.
+REQUIRED_PARTS = {"draft": (), "validated": (*FORMULATIONS, "requested_facts", "rationale", "reviewers")}
+
+
 class _Strict(BaseModel):
     model_config = ConfigDict(extra="forbid")
 
 
 class Scope(_Strict):
     corpus: str
-    temporal: str = ""
+    temporal: str
     selection_fingerprint: str
 
     @field_validator("selection_fingerprint")
@@ -45,10 +59,20 @@ class Scope(_Strict):
 
 
 class Condition(_Strict):
+    """Only a condition about metadata may name fields, and only known ones: those in the validation's context, or METADATA_FIELDS."""
+
     description: str
-    relates_to: Nature
+    relates_to: Basis
     fields: list[str] = Field(default_factory=list)
 
+    @field_validator("fields")
+    @classmethod
+    def _known(cls, named: list[str], info: ValidationInfo) -> list[str]:
+        known = set((info.context or {}).get("metadata_fields", METADATA_FIELDS)) if info.data.get("relates_to") == Basis.METADATA else set()
+        if strange := sorted({*named} - known):
+            raise ValueError(f"a condition can't name {strange}; here it may name {sorted(known)}")
+        return named
+
 
 class Formulations(_Strict):
     direct: str = ""
@@ -89,23 +113,18 @@ class NeedSheet(_Strict):
             raise ValueError("need_id must be NI- and three digits")
         return v
 
-    @model_validator(mode="after")
-    def _coherent(self) -> NeedSheet:
-        if self.partial_relevance_rule.strip() and self.answer_cardinality in (None, Cardinality.SINGLE):
-            raise ValueError("a partial_relevance_rule needs an enumeration or multidocument answer")
-        if self.equivalence_validation.status == "validated":
-            lacking = [f for f in FORMULATIONS if not getattr(self.formulations, f).strip()]
-            lacking += [] if any(f.strip() for f in self.requested_facts) else ["requested_facts"]
-            lacking += [] if self.equivalence_validation.rationale.strip() else ["rationale"]
-            lacking += [] if self.equivalence_validation.reviewers else ["reviewers"]
-            if lacking:
-                raise ValueError(f"a validated sheet lacks: {lacking}")
-        return self
+    def filled(self) -> set[str]:
+        """Names of the parts that hold some text."""
+        texts = {f: [getattr(self.formulations, f)] for f in FORMULATIONS} | {"requested_facts": self.requested_facts, "rationale": [self.equivalence_validation.rationale], "reviewers": [r.id for r in self.equivalence_validation.reviewers], "partial_relevance_rule": [self.partial_relevance_rule]}
+        return {name for name, own in texts.items() if "".join(own).strip()}
 
-    def checked_fields(self, metadata_fields: set[str]) -> NeedSheet:
-        outside = [f for c in self.mandatory_conditions if c.relates_to == Nature.METADATA for f in c.fields if f not in metadata_fields]
-        if outside:
-            raise ValueError(f"conditions name fields that are no metadata: {outside}")
+    @model_validator(mode="after")
+    def _whole(self) -> NeedSheet:
+        have, several = self.filled(), self.answer_cardinality in SEVERAL
+        if lacking := [part for part in REQUIRED_PARTS[self.equivalence_validation.status] if part not in have]:
+            raise ValueError(f"a {self.equivalence_validation.status} sheet lacks: {lacking}")
+        if "partial_relevance_rule" in have and not several:
+            raise ValueError(f"only answers of several documents ({', '.join(SEVERAL)}) can have a partial_relevance_rule")
         return self
 
     def to_yaml(self) -> str:
@@ -116,14 +135,14 @@ class NeedSheet(_Strict):
         return recorded is not None and self.scope.selection_fingerprint == recorded
 
 
-def load_sheets(folder: str | Path, only: list[str] | None = None) -> list[NeedSheet]:
-    """All NI-*.yaml by name."""
+def load_sheets(folder: str | Path, only: list[str] | None = None, metadata_fields: tuple[str, ...] = METADATA_FIELDS) -> list[NeedSheet]:
+    """All NI-*.yaml by name; conditions may name these metadata fields."""
     out = []
     for path in sorted(Path(folder).glob("NI-*.yaml")):
         value = yaml.safe_load(path.read_text("utf-8"))
         if not isinstance(value, dict):
             raise ValueError(f"{path}: a mapping is expected")
-        out.append(NeedSheet(**value))
+        out.append(NeedSheet.model_validate(value, context={"metadata_fields": metadata_fields}))
     return [s for s in out if only is None or s.need_id in only]
 
 

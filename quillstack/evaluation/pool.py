@@ -46,6 +46,20 @@ def strata(sets: DataFrame, j0: DataFrame, most_set: int) -> DataFrame:
     return sets.join(large, ["need_id", "formulation"], "left_semi").join(j0.withColumn("__in", F.lit(True)), KEYS, "left").select("need_id", "formulation", "doc_id", F.when(F.col("__in"), "I").otherwise("R").alias("stratum"))
 
 
+#: The name under which a need's condition complement is split and sampled, beside its formulations.
+CONDITIONS = "conditions"
+
+
+def complement_sets(complement: DataFrame) -> DataFrame:
+    """The complements (need_id, doc_id) as sets of their own, for strata and samples."""
+    return complement.select("need_id", F.lit(CONDITIONS).alias("formulation"), "doc_id")
+
+
+def all_strata(sets: DataFrame, complement: DataFrame, j0: DataFrame, most_set: int, most_complement: int) -> DataFrame:
+    """strata of the structured sets and of the complements, each above its own limit."""
+    return strata(sets, j0, most_set).union(strata(complement_sets(complement), j0, most_complement))
+
+
 def stratum_sizes(split: DataFrame) -> DataFrame:
     """(need_id, formulation, n_i, n_r, s_r, p_r)"""
     n = split.groupBy("need_id", "formulation").agg(F.count_if(F.col("stratum") == "I").alias("n_i"), F.count_if(F.col("stratum") == "R").alias("n_r"))
@@ -54,7 +68,7 @@ def stratum_sizes(split: DataFrame) -> DataFrame:
 
 def stratum_sample(split: DataFrame, seed: int | str) -> DataFrame:
     """(need_id, formulation, doc_id) drawn from R, independently for each formulation."""
-    rest = split.where(F.col("stratum") == "R").join(F.broadcast(stratum_sizes(split).select("need_id", "formulation", "s_r")), ["need_id", "formulation"])
+    rest = split.where(F.col("stratum") == "R").join(stratum_sizes(split).select("need_id", "formulation", "s_r"), ["need_id", "formulation"])
     return sampled(rest, ["need_id", "formulation"], "doc_id", F.col("s_r"), seed).select("need_id", "formulation", "doc_id")
 
 
@@ -64,6 +78,16 @@ def pool(j0: DataFrame, sample: DataFrame) -> DataFrame:
     return both.groupBy(*KEYS).agg(F.bool_or("a").alias("in_j0"), F.bool_or("b").alias("in_sample"))
 
 
+def with_strata(candidates: DataFrame, split: DataFrame, complement: DataFrame) -> DataFrame:
+    """candidates with `strata` (formulation, or "conditions", to stratum and inclusion probability) and in_condition_complement."""
+    sizes = stratum_sizes(split).select("need_id", "formulation", "p_r")
+    own = split.join(sizes, ["need_id", "formulation"]).withColumn("p", F.when(F.col("stratum") == "I", 1.0).otherwise(F.col("p_r")))
+    maps = own.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("formulation", F.struct("stratum", F.col("p").alias("inclusion_probability")))))).alias("strata"))
+    within = complement.select(*KEYS).distinct().withColumn("in_condition_complement", F.lit(True))
+    out = candidates.join(maps, KEYS, "left").join(within, KEYS, "left")
+    return out.withColumn("in_condition_complement", F.coalesce("in_condition_complement", F.lit(False)))
+
+
 def with_recall(candidates: DataFrame, rankings: DataFrame) -> DataFrame:
     """candidates with `by_formulation`: map of formulation to the architectures' ranks, in the order structured, vector, hybrid."""
     order = {"structured": 0, "vector": 1, "hybrid": 2}

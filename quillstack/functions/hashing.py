@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 8 * 1024 * 1024
+#: Hex digits of a lane of table_hash, so that a lane is a 64-bit integer.
+LANE = 15
 
 
 def file_sha256(path: str | Path) -> str:
@@ -50,19 +52,20 @@ def row_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\u001f", *(canonical(c, kinds[c]) for c in sorted(df.columns))), 256)
 
 
-def table_hash(hashes: DataFrame, row: str = "h", digits: int = 2) -> DataFrame:
-    """One row (fingerprint): rows are hashed in 16**digits buckets by their first hex digits, sorted in each, then bucket hashes in order.
+def table_hash(hashes: DataFrame, row: str = "h") -> DataFrame:
+    """One row (fingerprint) of a table of SHA-256 row hashes, the same in every order; repeated rows count.
 
-    The buckets keep every sorted list a small share of the table; repeated rows count.
+    The hashes' four lanes of 60 bits are summed exactly and the sums are hashed with the number of rows: each task sends
+    one row, so no list of hashes is ever made.
     """
-    by = hashes.groupBy(F.substring(row, 1, digits).alias("bucket"))
-    buckets = by.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("bucket_hash"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "bucket_hash"))), lambda b: b["bucket_hash"]), "")
-    return buckets.agg(F.sha2(F.coalesce(joined, F.lit("")), 256).alias("fingerprint"))
+    lanes = [F.conv(F.substring(row, 1 + LANE * k, LANE), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = hashes.agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{k}") for k, x in enumerate(lanes)))
+    told = [F.col("n").cast("string"), *(F.coalesce(F.col(f"s{k}").cast("string"), F.lit("0")) for k in range(4))]
+    return sums.select(F.sha2(F.concat_ws(":", *told), 256).alias("fingerprint"))
 
 
 def fingerprint(df: DataFrame) -> str:
     """Of schema and rows; independent of row order, files and partitions."""
     schema = json.dumps(sorted(df.dtypes))
-    rows = table_hash(df.select(row_hash(df).alias("h")), digits=4).first()["fingerprint"]
+    rows = table_hash(df.select(row_hash(df).alias("h"))).first()["fingerprint"]
     return hashlib.sha256(f"{schema}\n{rows}".encode()).hexdigest()

@@ -64,8 +64,15 @@ def stratified_estimate(n_i: Column, p_i: Column, n_r: Column, s_r: Column, p_r:
     return {"p_hat": p, "variance": variance, "low": F.greatest(F.lit(0.0), p - z * F.sqrt(variance)), "high": F.least(F.lit(1.0), p + z * F.sqrt(variance))}
 
 
+def stratified_wilson(n_i: Column, p_i: Column, n_r: Column, s_r: Column, p_r: Column, z: float = 1.96) -> dict[str, Column]:
+    """The interval of the stratified share for samples that are small or near 0 or 1: stratum I as it is, R by its Wilson bounds; a whole R has none."""
+    n, whole = n_i + n_r, s_r >= n_r
+    low, high = (F.when(whole | (n_r <= 0), p_r).otherwise(F.coalesce(x, F.lit(end))) for x, end in zip(wilson(p_r, s_r, z), (0.0, 1.0), strict=True))
+    return {name: F.when(n > 0, (n_i * p_i + n_r * x) / n).otherwise(0.0) for name, x in (("wilson_low", low), ("wilson_high", high))}
+
+
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """The Wilson interval, for shares near 0 or 1."""
+    """The Wilson interval, for shares near 0 or 1; null without a sample."""
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.when(n > 0, mid - half), F.when(n > 0, mid + half)

@@ -85,10 +85,18 @@ def chunk_count(n: Column, size: int, overlap: int) -> Column:
 
 
 def chunk_words(tokens: Column | str, size: int = 100, overlap: int = 20) -> Column:
-    """Overlapping windows of tokens as strings, in order; the last starts where the rest first fits."""
-    tokens, step = col(tokens), size - overlap
-    n = chunk_count(F.size(tokens), size, overlap)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+    """Overlapping windows of tokens as strings, in order; the last starts where the rest first fits.
+
+    The tokens are bound once: as an expression inside the windows' own lambda they would be made again for each window.
+    """
+    step = size - overlap
+
+    def windows(t: Column) -> Column:
+        n = chunk_count(F.size(t), size, overlap)
+        made = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.slice(t, i * step + 1, size), " "))
+        return F.when(n > 0, made).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(col(tokens)), windows)[0]
 
 
 def strip_accents(c: Column | str) -> Column:
@@ -105,9 +113,28 @@ def fold_evaluation(c: Column | str) -> Column:
     return collapse(F.lower(strip_accents(F.coalesce(col(c), F.lit("")))))
 
 
+def _case_folding() -> dict[str, str]:
+    """What full case folding makes of the characters that lower case leaves different."""
+    known = (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    return {c: c.casefold() for c in known if c.lower() == c != c.casefold()}
+
+
+_folds: list[dict[str, str]] = []
+
+
+def case_folded(c: Column | str) -> Column:
+    """Full case folding: lower case, then the few characters that fold to others; texts without them skip the second step."""
+    if not _folds:
+        _folds.append(_case_folding())
+    own, low = _folds[0], F.lower(col(c))
+    table = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))
+    odd = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in own) + "]"
+    return F.when(low.rlike(odd), F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(table[x], x)), "")).otherwise(low)
+
+
 def fold_diagnostic(c: Column | str) -> Column:
     """For profiles: stripped, collapsed, no dots at the end, case folded; accents stay."""
-    return F.replace(F.lower(F.regexp_replace(collapse(c), r"\.+\z", "")), F.lit("ß"), F.lit("ss"))
+    return case_folded(F.regexp_replace(collapse(c), r"\.+\z", ""))
 
 
 def strip_parens(c: Column | str) -> Column:
@@ -183,9 +210,10 @@ def description_terms(c: Column | str) -> Column:
 
 
 def displayed(c: Column | str, limit: int = 100) -> Column:
-    """For Markdown cells: pipes escaped, cut with an ellipsis."""
-    cut = F.when(F.length(col(c)) > limit, F.concat(F.substring(col(c), 1, limit), F.lit("…"))).otherwise(col(c))
-    return F.replace(cut, F.lit("|"), F.lit("\\|"))
+    """For Markdown cells: null is empty, cut with an ellipsis, pipes escaped, on one line."""
+    c = F.coalesce(col(c), F.lit(""))
+    cut = F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("…"))).otherwise(c)
+    return F.replace(F.replace(cut, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
 def shown_value(c: Column | str) -> Column:

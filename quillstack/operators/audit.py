@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -12,20 +12,24 @@ from quillstack.functions.sampling import seeded_rows
 from quillstack.functions.text import is_blank
 from quillstack.sources.config import CorpusConfig
 from quillstack.sources.manifest import Manifest
-from quillstack.sources.publish import markdown_table, write_json
+from quillstack.sources.publish import markdown_table, together, write_json
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, n_total, n_missing, coverage_pct, n_distinct) in one pass; blanks are missing but count as values."""
+    """(column_name, n_total, n_missing, coverage_pct, n_distinct) in one pass; blanks are missing but count as values.
+
+    Values are counted by 128 bits of hash, summed in the tasks first, so no text is shuffled.
+    """
     columns = columns or df.columns
-    own = [(c, F.col(f"`{c}`").cast("string")) for c in columns]
-    flat = [F.count("*").alias("__n")]
-    for i, (_, c) in enumerate(own):
-        flat += [F.count_if(is_blank(c)).alias(f"m{i}"), F.countDistinct(c).alias(f"d{i}")]
-    cells = F.array(*(F.struct(F.lit(name).alias("column_name"), F.col(f"m{i}").alias("n_missing"), F.col(f"d{i}").alias("n_distinct")) for i, (name, _) in enumerate(own)))
-    rows = df.agg(*flat).select(F.col("__n").alias("n_total"), F.explode(cells).alias("x"))
-    share = F.when(F.col("n_total") == 0, 0.0).otherwise(F.round(100.0 * (F.col("n_total") - F.col("x.n_missing")) / F.col("n_total"), 2))
-    return rows.select("x.column_name", "n_total", "x.n_missing", share.alias("coverage_pct"), "x.n_distinct")
+    own = [F.col(f"`{c}`").cast("string") for c in columns]
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.unhex(F.md5(c)).alias("value"), is_blank(c).alias("blank")) for i, c in enumerate(own)))
+    by_value = df.select(F.explode(cells).alias("x")).groupBy("x.i", "x.value").agg(F.count("*").alias("n"), F.count_if("x.blank").alias("m"))
+    told = by_value.groupBy("i").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("value").alias("d"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column_name string")
+    zero = F.lit(0).cast("long")
+    rows = names.join(told, "i", "left").select("column_name", F.coalesce("n", zero).alias("n_total"), F.coalesce("m", zero).alias("n_missing"), F.coalesce("d", zero).alias("n_distinct"))
+    share = F.when(F.col("n_total") == 0, 0.0).otherwise(F.round(100.0 * (F.col("n_total") - F.col("n_missing")) / F.col("n_total"), 2))
+    return rows.select("column_name", "n_total", "n_missing", share.alias("coverage_pct"), "n_distinct")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -80,28 +84,35 @@ def run_audit(df: DataFrame, config: CorpusConfig, manifest: Manifest, file: str
     return audit(df, config)
 
 
+def write_csv(path: Path, columns: list[str], rows: list[tuple]) -> None:
+    with path.open("w", encoding="utf-8", newline="") as f:
+        csv.writer(f).writerows([columns, *rows])
+
+
 def save_reports(result: dict, sample: DataFrame, folder: str | Path, key: str) -> list[Path]:
-    """Five files, always all: summary, duplicates, lengths, sample, report."""
+    """Seven files, always all: summary, duplicates, lengths, column and length tables, sample, report. Where one of them is there
+    already, all get the same time in their names, so that no report replaces another."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    write_json(folder / "summary.json", {k: result[k] for k in ("n_rows", "columns", "missing_columns", "metadata")})
-    write_json(folder / "duplicates.json", result["duplicates"])
-    write_json(folder / "lengths.json", {"lengths": result["lengths"], "without_text": result["without_text"]})
+    files = together(folder, ["summary.json", "duplicates.json", "lengths.json", "columns.csv", "lengths.csv", "sample.md", "report.md"])
+    write_json(files["summary.json"], {k: result[k] for k in ("n_rows", "columns", "missing_columns", "metadata")})
+    write_json(files["duplicates.json"], result["duplicates"])
+    write_json(files["lengths.json"], {"lengths": result["lengths"], "without_text": result["without_text"]})
+    names = ["column_name", "n_total", "n_missing", "coverage_pct", "n_distinct"]
+    write_csv(files["columns.csv"], names, [tuple(c[n] for n in names) for c in result["columns"]])
+    lengths = result["lengths"]["result"] or {}
+    write_csv(files["lengths.csv"], ["measure", "value"], [("status", result["lengths"]["status"]), *lengths.items()])
     rows = [tuple(r) for r in seeded_rows(sample, key).collect()]
-    (folder / "sample.md").write_text(markdown_table(sample.columns, rows), "utf-8")
+    files["sample.md"].write_text(markdown_table(sample.columns, rows), "utf-8")
     body = [f"# Audit\n\nRows: {result['n_rows']}\n", markdown_table(["column", "missing", "coverage %", "distinct"], [(c["column_name"], c["n_missing"], c["coverage_pct"], c["n_distinct"]) for c in result["columns"]])]
     for part in ("duplicates", "lengths", "without_text"):
         lines = [f"- {a}: {b}" for a, b in (result[part]["result"] or {}).items()]
         body.append("\n".join([f"\n## {part}\n\nstatus: {result[part]['status']}\n", *lines]))
-    (folder / "report.md").write_text("\n".join(body), "utf-8")
-    return sorted(folder.iterdir())
+    files["report.md"].write_text("\n".join(body), "utf-8")
+    return sorted(files.values())
 
 
 def predicate_counts(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
     """Row counts for every combination of flags, with cube totals (null: any)."""
     flags = df.select(*(p.alias(n) for n, p in predicates.items()))
     return flags.cube(*predicates).agg(F.count("*").alias("n"))
-
-
-def all_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, predicates, F.lit(True))

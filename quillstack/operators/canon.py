@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import warnings
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,7 +82,19 @@ def run_canonical(df: DataFrame, config: CorpusConfig, manifest: Manifest, file:
         if back.count() != {"canonical.parquet": n_in, "rejected.parquet": n_out}[name]:
             raise ValueError(f"{name} reads back with other rows")
 
-    return publish(df.sparkSession, folder, {"canonical.parquet": out.accepted, "rejected.parquet": out.rejected}, {"canonical.json": side}, check)
+    made = publish(df.sparkSession, folder, {"canonical.parquet": out.accepted, "rejected.parquet": out.rejected}, {"canonical.json": side}, check)
+    log_fingerprint(Path(folder) / "fingerprint_log.jsonl", made["canonical.parquet"], config, side)
+    return made
+
+
+def log_fingerprint(log: Path, table: Path, config: CorpusConfig, side: dict) -> None:
+    """One more line in the history of published tables. A failure is only told: the table is published, and its sidecar has the fingerprint."""
+    line = {"at": datetime.now(UTC).isoformat(), "table": str(table), "schema_version": config.schema_version, "batch_id": config.batch_id} | {k: side[k] for k in ("dataset_fingerprint", "n_accepted", "n_rejected")}
+    try:
+        with log.open("a", encoding="utf-8") as f:
+            f.write(json.dumps(line, ensure_ascii=False) + "\n")
+    except OSError as e:
+        warnings.warn(f"{log} has no line for {table}: {e}", stacklevel=2)
 
 
 def roles(config: CorpusConfig) -> dict[str, list[str]]:

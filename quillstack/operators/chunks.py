@@ -15,6 +15,7 @@ from quillstack.functions.text import chunk_words, clean_html, document_text, wo
 from quillstack.session import checkpointed
 from quillstack.sources.publish import read_json, write_json
 
+#: Special tokens of tokenizers that don't say how many they add, and tokens left free for what decoding changes.
 SPECIAL_TOKENS, MARGIN = 2, 4
 
 
@@ -36,10 +37,12 @@ def documents_to_chunks(df: DataFrame, doc_id: str, parts: list[str], size: int
 
 
 def token_windows(text: str, tokenizer: Tokenizer, most: int = 128, overlap: int = 16) -> list[str]:
-    """Windows of token ids as text; each fits `most` tokens when encoded again, none is empty."""
+    """Windows of token ids as text; each fits `most` tokens when encoded again, with the special tokens that the tokenizer adds; none is empty."""
     if most < 1 or not 0 <= overlap < most:
         raise ValueError("most must be positive and 0 <= overlap < most")
-    budget = most - SPECIAL_TOKENS - MARGIN
+    added = getattr(tokenizer, "num_special_tokens_to_add", None)
+    special = SPECIAL_TOKENS if added is None else added(False)
+    budget = most - special - MARGIN
     if budget <= overlap:
         raise ValueError("the window leaves no room beside the overlap")
     ids = tokenizer.encode(text)
@@ -47,7 +50,7 @@ def token_windows(text: str, tokenizer: Tokenizer, most: int = 128, overlap: int
     def fitted(part: list[int]) -> str:
         while part:
             out = tokenizer.decode(part)
-            if len(tokenizer.encode(out)) + SPECIAL_TOKENS <= most:
+            if len(tokenizer.encode(out)) + special <= most:
                 return out
             part = part[:-1]
         return ""
@@ -69,8 +72,8 @@ def documents_to_token_chunks(df: DataFrame, doc_id: str, text: str, make_tokeni
     return df.select(doc_id, text).mapInArrow(run, f"doc_id {dict(df.dtypes)[doc_id]}, chunk_index int, text string")
 
 
-def positioned(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """chunks with `pos`, dense from 0 in the order, without a global sort in one task: partitions by range, counts, offsets."""
+def positioned(chunks: DataFrame, order: list[str | Column], name: str = "pos", start: int = 0) -> DataFrame:
+    """chunks with `pos` (or another name), dense from 0 (or another start) in the order, without a global sort in one task: partitions by range, counts, offsets."""
     spark = chunks.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # materialised once: the partition numbers must be those that the counts saw
@@ -81,7 +84,12 @@ def positioned(chunks: DataFrame, order: list[str]) -> DataFrame:
         offsets.append((r["__part"], total))
         total += r["n"]
     at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(spark.createDataFrame(offsets, "__part int, __base long")), "__part").withColumn("pos", F.col("__base") + at).drop("__part", "__base")
+    return ranged.join(F.broadcast(spark.createDataFrame(offsets, "__part int, __base long")), "__part").withColumn(name, F.col("__base") + at + start).drop("__part", "__base")
+
+
+def first_documents(chunks: DataFrame, n: int) -> DataFrame:
+    """The chunks of the first n documents by id."""
+    return chunks.join(chunks.select("doc_id").distinct().orderBy("doc_id").limit(n), "doc_id", "left_semi")
 
 
 def shard_of(pos: Column | str, size: int) -> Column:
@@ -107,7 +115,7 @@ def build_index(spark: SparkSession, chunks: DataFrame, encode: Callable[[Column
         for name in ("chunks", "vectors"):
             _remove(spark, folder / name)
         (folder / "meta.json").unlink(missing_ok=True)
-        rows = chunks if limit_docs is None else chunks.join(chunks.select("doc_id").distinct().orderBy("doc_id").limit(limit_docs), "doc_id", "left_semi")
+        rows = chunks if limit_docs is None else first_documents(chunks, limit_docs)
         positioned(rows, ["doc_id", "chunk_index"]).withColumn("shard_id", shard_of("pos", shard_size)).write.mode("overwrite").parquet(str(folder / "chunks"))
         write_json(folder / "state.json", state)
     elif (meta := read_json(folder / "meta.json")) is not None:

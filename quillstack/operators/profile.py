@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +13,26 @@ TOP, RARE_SHOWN, RARE_MOST = 15, 20, 1
 
 
 def field_profile(df: DataFrame, fields: list[str]) -> DataFrame:
-    """One row a field: counts over one pass of the rows."""
+    """One row a field: counts over one pass of the rows.
+
+    Rows are summed by 128 bits of hash of the value in the tasks first; what is shuffled is a few counts for each different value.
+    """
     values = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("v")) for f in fields)))
     x = df.select(values.alias("x")).select("x.*")
     v, bare = F.col("v"), strip("v")
     there = ~is_blank(v)
-    return x.groupBy("field").agg(
-        F.count("*").alias("n_total"),
-        F.count_if(v.isNull()).alias("n_null"),
-        F.count_if(v.isNotNull() & is_blank(v)).alias("n_empty"),
-        F.count_if(there).alias("n_present"),
-        F.count_if(v.isNotNull() & (v != bare)).alias("n_edge_space"),
-        F.count_if(there & bare.endswith(".")).alias("n_trailing_dot"),
-        F.count_if(there & bare.contains(";")).alias("n_multivalue"),
-        F.countDistinct(F.when(there, v)).alias("n_distinct_raw"),
-        F.countDistinct(F.when(there, fold_diagnostic(v))).alias("n_distinct_folded"),
-    )
+    flags = {
+        "n_null": v.isNull(),
+        "n_empty": v.isNotNull() & is_blank(v),
+        "n_present": there,
+        "n_edge_space": v.isNotNull() & (v != bare),
+        "n_trailing_dot": there & bare.endswith("."),
+        "n_multivalue": there & bare.contains(";"),
+    }
+    known = x.select("field", F.unhex(F.md5(v)).alias("value"), F.when(there, F.unhex(F.md5(fold_diagnostic(v)))).alias("folded"), *(c.alias(n) for n, c in flags.items()))
+    by_value = known.groupBy("field", "value", "folded", "n_present").agg(F.count("*").alias("n_total"), *(F.count_if(n).alias(f"k_{n}") for n in flags))
+    by_folded = by_value.groupBy("field", "folded").agg(F.sum("n_total").alias("n_total"), *(F.sum(f"k_{n}").alias(n) for n in flags), F.count_if("n_present").alias("raw"))
+    return by_folded.groupBy("field").agg(F.sum("n_total").alias("n_total"), *(F.sum(n).alias(n) for n in flags), F.sum("raw").alias("n_distinct_raw"), F.count("folded").alias("n_distinct_folded"))
 
 
 def value_counts(df: DataFrame, field: str) -> DataFrame:
@@ -65,7 +67,3 @@ def profile_report(df: DataFrame, fields: list[str], recorded: str | None = None
         rare = rare_values(df, f).collect()
         out += ["", f"rare values: {rare[0]['n_rare'] if rare else 0}", ""] + [f"- {r['value']}" for r in rare]
     return "\n".join(out) + "\n"
-
-
-def unioned(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

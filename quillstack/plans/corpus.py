@@ -111,7 +111,7 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rare_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.rare_values(read(spark, sf_dir, "documents").select(F.substring("text", 1, 24).alias("head")), "head")
+    return profile.rare_values(read(spark, sf_dir, "pages"), "url")
 
 
 def _fold(v: str) -> str:
@@ -126,7 +126,8 @@ def _field_sql(c: str) -> str:
 
 
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    """All rows and columns of orders; prices as exact decimals, since engines write doubles differently."""
+    orders = read(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)"))
     return hashing.table_hash(orders.select(hashing.row_hash(orders).alias("h")))
 
 
@@ -187,9 +188,9 @@ ORACLES = {
     "eligibility_counts": f"{REASONS_SQL} SELECT count(*) AS n_total, count(*) FILTER (WHERE reasons = '') AS n_eligible, count(*) FILTER (WHERE reasons <> '') AS n_ineligible FROM r",
     "field_profile": f"{HOLED_SQL} {_field_sql('lang')} UNION ALL {_field_sql('source')}",
     "top_values": "SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, value LIMIT 15",
-    "rare_values": "WITH c AS (SELECT substr(text, 1, 24) AS value, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT * FROM c WHERE n <= 1) SELECT value, n, (SELECT count(*) FROM r) AS n_rare FROM r ORDER BY value LIMIT 20",
-    "dataset_fingerprint": f"""WITH r AS (SELECT sha256({_tagged('o_custkey', 'i')} || chr(31) || {_tagged('o_orderkey', 'i')} || chr(31) || {_tagged('o_orderpriority', 's')} || chr(31) || {_tagged('o_orderstatus', 's')}) AS h FROM orders),
- b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS bh FROM r GROUP BY 1) SELECT sha256(string_agg(bh, '' ORDER BY bucket)) AS fingerprint FROM b""",
+    "rare_values": "WITH c AS (SELECT url AS value, count(*) AS n FROM pages GROUP BY 1), r AS (SELECT * FROM c WHERE n <= 1) SELECT value, n, (SELECT count(*) FROM r) AS n_rare FROM r ORDER BY value LIMIT 20",
+    "dataset_fingerprint": f"""WITH r AS (SELECT sha256(concat_ws(chr(31), {_tagged('o_custkey', 'i')}, {_tagged("strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')", 't')}, {_tagged('o_orderkey', 'i')}, {_tagged('o_orderpriority', 's')}, {_tagged('o_orderstatus', 's')}, {_tagged('CAST(o_totalprice AS DECIMAL(15, 2))', 'i')})) AS h FROM orders)
+ SELECT sha256(concat_ws(':', count(*), {', '.join(f"coalesce(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS HUGEINT)), 0)" for k in range(4))})) AS fingerprint FROM r""",
     "clean_html": f"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(CASE WHEN html IS NULL OR lower(regexp_replace(html, '^{BLANK}+|{BLANK}+$', '', 'g')) = 'nan' THEN '' ELSE html END, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '{BLANK}+', ' ', 'g')) AS plain FROM pages""",
     "chunk_words": f"{CHUNKS_SQL} SELECT doc_id, CAST(i AS INT) AS chunk_index, sha256(t) AS text_sha256 FROM x",
     "chunk_stats": f"{CHUNKS_SQL} SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, min(n) AS min_words, max(n) AS max_words, round(avg(n), 4) AS mean_words FROM x",

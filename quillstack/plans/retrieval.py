@@ -53,7 +53,7 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "labels").where("doc_id < 100").select("doc_id", "quality", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    own = read(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
     return own.select(F.concat(F.lit("N"), F.col("n").cast("string")).alias("need_id"), "doc_id", F.expr("quality = 1 and (doc_id + n) % 3 = 0").alias("relevant"))
 
 
@@ -70,7 +70,7 @@ SQL = """q AS (SELECT 'N' || (vec_id // 10) AS need_id, CASE vec_id % 10 WHEN 0
    UNION ALL SELECT need_id, formulation, 'hybrid', doc_id, row_number() OVER (PARTITION BY need_id, formulation ORDER BY score DESC, doc_id), score FROM p SEMI JOIN st USING (need_id, formulation, doc_id)),
  r AS (SELECT * FROM rk WHERE rank <= 50),
  cf AS (SELECT need_id, formulation, a AS architecture FROM q, (VALUES ('vector'), ('hybrid')) v(a)),
- j AS (SELECT 'N' || n AS need_id, doc_id, quality = 1 AND (doc_id + n) % 3 = 0 AS relevant FROM labels, range(3) t(n) WHERE doc_id < 100),
+ j AS (SELECT 'N' || n AS need_id, doc_id, quality = 1 AND (doc_id + n) % 3 = 0 AS relevant FROM labels, range(3) t(n)),
  cm AS (SELECT 'N1' AS need_id, doc_id FROM d WHERE doc_id % 20 = 3),
  j0 AS (SELECT DISTINCT need_id, doc_id FROM (SELECT need_id, doc_id FROM r WHERE rank <= 10 UNION ALL SELECT need_id, doc_id FROM st SEMI JOIN (SELECT need_id, formulation FROM st GROUP BY ALL HAVING count(*) <= 12) x USING (need_id, formulation) UNION ALL SELECT need_id, doc_id FROM cm WHERE (SELECT count(*) FROM cm) <= 12)),
  sr AS (SELECT st.need_id, st.formulation, st.doc_id, CASE WHEN j0.doc_id IS NULL THEN 'R' ELSE 'I' END AS stratum FROM st SEMI JOIN (SELECT need_id, formulation FROM st GROUP BY ALL HAVING count(*) > 12) x ON st.need_id = x.need_id AND st.formulation = x.formulation LEFT JOIN j0 ON st.need_id = j0.need_id AND st.doc_id = j0.doc_id),
@@ -83,7 +83,10 @@ SQL = """q AS (SELECT 'N' || (vec_id // 10) AS need_id, CASE vec_id % 10 WHEN 0
    UNION ALL SELECT need_id, doc_id, NULL, false, false, false, true FROM cm) GROUP BY ALL),
  pc AS (SELECT cf.need_id, cf.formulation, cf.architecture, coalesce(n, 0) AS returned, coalesce(k, 0) AS n_relevant, coalesce(a, true) AS all_judged, 5 - coalesce(n, 0) AS missing_positions, round(coalesce(k, 0) / 5.0::DOUBLE, 4) AS precision
    FROM cf LEFT JOIN (SELECT r.need_id, r.formulation, r.architecture, count(*) AS n, count(*) FILTER (WHERE relevant) AS k, bool_and(relevant IS NOT NULL) AS a FROM r LEFT JOIN j ON r.need_id = j.need_id AND r.doc_id = j.doc_id WHERE rank <= 5 GROUP BY ALL) t ON cf.need_id = t.need_id AND cf.formulation = t.formulation AND cf.architecture = t.architecture),
- kn AS (SELECT need_id, count(DISTINCT doc_id) AS n_known FROM j WHERE relevant GROUP BY need_id)"""
+ kn AS (SELECT need_id, count(DISTINCT doc_id) AS n_known FROM j WHERE relevant GROUP BY need_id),
+ j3 AS (SELECT DISTINCT need_id, doc_id FROM (SELECT need_id, doc_id FROM r WHERE rank <= 10 UNION ALL SELECT need_id, doc_id FROM st SEMI JOIN (SELECT need_id, formulation FROM st GROUP BY ALL HAVING count(*) <= 12) x USING (need_id, formulation))),
+ s3 AS (SELECT need_id, formulation, doc_id FROM st SEMI JOIN (SELECT need_id, formulation FROM st GROUP BY ALL HAVING count(*) > 12) x USING (need_id, formulation) UNION ALL SELECT need_id, 'conditions', doc_id FROM cm),
+ sr2 AS (SELECT s3.need_id, s3.formulation, s3.doc_id, CASE WHEN j3.doc_id IS NULL THEN 'R' ELSE 'I' END AS stratum FROM s3 LEFT JOIN j3 ON s3.need_id = j3.need_id AND s3.doc_id = j3.doc_id)"""
 
 
 def _sql(tail: str) -> str:
@@ -141,12 +144,13 @@ def integrity_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.difference(read(spark, sf_dir, "documents").where("doc_id % 5 <> 0"), read(spark, sf_dir, "labels"))
+    """All documents against all labels and as many invented ids."""
+    own = read(spark, sf_dir, "labels").select("doc_id")
+    return hybrid.difference(read(spark, sf_dir, "documents"), own.union(own.select(-F.col("doc_id") - 1)))
 
 
 def context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("part"))
-    return structured.context_tokens(structured.component_table(parts, "part")).select("token", "df")
+    return structured.context_tokens(structured.component_table(read(spark, sf_dir, "documents"), "text")).select("token", "df")
 
 
 #: Invented institutions: variants with and without acronyms, several in a field, labels with numbers, plain words.
@@ -218,8 +222,10 @@ def blind_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("doc_id % 4 <> 1")
-    return judgment.with_documents(_origins(spark, sf_dir).select("need_id", "doc_id"), docs, ["lang", "text"], 80)
+    """All pairs and as many with invented ids beside the whole corpus."""
+    own = _origins(spark, sf_dir).select("need_id", "doc_id")
+    pairs = own.union(own.select("need_id", -F.col("doc_id") - 1))
+    return judgment.with_documents(pairs, read(spark, sf_dir, "documents"), ["lang", "text"], 80).drop("lang__length")
 
 
 def _precision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +299,8 @@ ORACLES = {
     "hybrid_filtered_rank": _sql("SELECT need_id, formulation, architecture, doc_id, CAST(rank AS INT) AS rank, score FROM r WHERE architecture = 'hybrid' AND rank <= 20"),
     "hybrid_paths": _sql("SELECT * FROM (SELECT need_id AS query_id, doc_id, score, CASE WHEN need_id = 'N0' THEN 'A' ELSE 'C' END AS path, CAST(row_number() OVER (PARTITION BY need_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM p WHERE formulation = 'direct' AND (need_id = 'N0' OR (need_id = 'N1' AND doc_id % 7 = 1))) WHERE rank <= 10"),
     "integrity_missing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "integrity_diff": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
-    "context_tokens": f"""WITH c AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g'), '\\.+$', ''), '^{BLANK}+|{BLANK}+$', '', 'g') AS component FROM documents, unnest(string_split(substr(text, 1, 60), ';')) u(x)),
+    "integrity_diff": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels UNION SELECT -doc_id - 1 FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+    "context_tokens": f"""WITH c AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g'), '\\.+$', ''), '^{BLANK}+|{BLANK}+$', '', 'g') AS component FROM documents, unnest(string_split(text, ';')) u(x)),
  n AS (SELECT count(*) AS n FROM c WHERE component <> ''), t AS (SELECT DISTINCT component, unnest(string_split({_folded('component')}, ' ')) AS token FROM c WHERE component <> '')
  SELECT token, count(*) AS df FROM t, n WHERE length(token) >= 4 GROUP BY token, n HAVING count(*) >= 0.02::DOUBLE * n AND n >= 200""",
     "acronym_dictionary": f"WITH {_PARTS} SELECT acronym, n_identities, component FROM ad",
@@ -311,7 +317,7 @@ ORACLES = {
     "judgment_overlaps": _sql("SELECT count(*) FILTER (WHERE is_top_vector AND is_top_hybrid) AS n_vector_hybrid, count(*) FILTER (WHERE (is_top_vector OR is_top_hybrid) AND is_strict) AS n_top_strict, count(*) FILTER (WHERE (is_top_vector OR is_top_hybrid) AND is_reference) AS n_top_reference, count(*) FILTER (WHERE is_strict AND is_reference) AS n_strict_reference FROM og"),
     "pair_uniqueness": _sql("SELECT need_id, doc_id, count(*) AS n FROM r WHERE rank <= 5 GROUP BY need_id, doc_id HAVING count(*) > 1"),
     "blind_batches": _sql("SELECT need_id, doc_id, CAST(row_number() OVER (PARTITION BY need_id ORDER BY doc_id) AS INT) AS turn, CAST(ceil(row_number() OVER (PARTITION BY need_id ORDER BY doc_id) / 5.0) AS INT) AS batch FROM (SELECT DISTINCT need_id, doc_id FROM og)"),
-    "pairs_left_join": _sql("SELECT og.need_id, og.doc_id, CASE WHEN x.doc_id IS NULL THEN '(outside the selection)' ELSE x.lang END AS lang, CASE WHEN x.doc_id IS NULL THEN '(outside the selection)' ELSE substr(x.text, 1, 80) END AS text FROM og LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 1) x ON og.doc_id = x.doc_id"),
+    "pairs_left_join": _sql(f"SELECT p.need_id, p.doc_id, CASE WHEN x.doc_id IS NULL THEN '(outside the selection)' ELSE x.lang END AS lang, CASE WHEN x.doc_id IS NULL THEN '(outside the selection)' ELSE substr(x.t, 1, 80) END AS text, CAST(length(x.t) AS INT) AS text__length FROM (SELECT need_id, doc_id FROM og UNION ALL SELECT need_id, -doc_id - 1 FROM og) p LEFT JOIN (SELECT doc_id, lang, regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') AS t FROM documents) x ON p.doc_id = x.doc_id"),
     "precision_at_5": _sql("SELECT * FROM pc"),
     "precision_means": _sql("SELECT need_id, architecture, round(avg(precision), 4) AS mean_precision, count(*) AS n_configs FROM pc GROUP BY need_id, architecture"),
     "paired_diff": _sql("SELECT need_id, formulation, max(precision) FILTER (WHERE architecture = 'hybrid') AS hybrid, max(precision) FILTER (WHERE architecture = 'vector') AS vector, round(max(precision) FILTER (WHERE architecture = 'hybrid') - max(precision) FILTER (WHERE architecture = 'vector'), 4) AS difference FROM pc GROUP BY need_id, formulation"),

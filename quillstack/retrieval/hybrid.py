@@ -73,6 +73,6 @@ def paths(scores: DataFrame, conditions: DataFrame, candidates: DataFrame, queri
     """
     n = conditions.groupBy("query_id").agg(F.sum("n").alias("n_conditions"))
     told = queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n_conditions", F.lit(0)).alias("n_conditions"))
-    free = scores.join(F.broadcast(told.where("n_conditions = 0").select("query_id")), "query_id", "left_semi").withColumn("path", F.lit("A"))
-    bound = scores.join(candidates, ["query_id", "doc_id"], "left_semi").join(F.broadcast(told.where("n_conditions > 0").select("query_id")), "query_id", "left_semi").withColumn("path", F.lit("C"))
+    free = scores.join(told.where("n_conditions = 0").select("query_id"), "query_id", "left_semi").withColumn("path", F.lit("A"))
+    bound = scores.join(candidates, ["query_id", "doc_id"], "left_semi").join(told.where("n_conditions > 0").select("query_id"), "query_id", "left_semi").withColumn("path", F.lit("C"))
     return free.unionByName(bound)

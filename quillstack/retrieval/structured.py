@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.text import all_acronyms, base_identity, components, fold_query, is_blank, mentions, name_and_acronym, quoted, stem, strip, usable_acronym
+from quillstack.operators.chunks import positioned
 from quillstack.retrieval.base import Retrieval
+from quillstack.retrieval.vector import blocks
 
 #: Month names, folded (fixed values).
 MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
 CONTEXT_SHARE, CONTEXT_LEAST, NAME_LEAST = 0.02, 200, 12
+#: Entries of a dictionary that are broadcast at once.
+DICTIONARY_MOST = 1_000_000
 
 
 @dataclass
@@ -30,6 +34,7 @@ class Roles:
     date: str = "DATASESSAO"
     entity: str = "ENTIDADE"
     unit: str = "UNIDADETECNICA"
+    #: Folded names of chambers and the values they are written as (fixed values).
     chambers: list[tuple[list[str], str]] = field(default_factory=lambda: [(["plenario"], "Plenário"), (["primeira camara", "1a camara", "1 camara"], "Primeira Câmara"), (["segunda camara", "2a camara", "2 camara"], "Segunda Câmara")])
     #: Folded names of the institution that wrote the whole corpus; naming it selects nothing.
     issuers: tuple[str, ...] = ()
@@ -84,7 +89,12 @@ def best(hits: DataFrame, score: list[Column]) -> DataFrame:
     return hits.withColumn("__turn", F.row_number().over(Window.partitionBy("query_id").orderBy(*score))).where("__turn = 1").drop("__turn")
 
 
-def match_process(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
+def met(queries: DataFrame, dictionary: DataFrame, condition: Column, most: int = DICTIONARY_MOST) -> DataFrame:
+    """The theta join of questions and a dictionary, which is counted and broadcast in blocks of about `most` entries."""
+    return reduce(DataFrame.union, [queries.join(F.broadcast(d), condition) for d in blocks(dictionary, most)])
+
+
+def match_process(queries: DataFrame, dictionary: DataFrame, most: int = DICTIONARY_MOST) -> DataFrame:
     """(query_id, value): the longest of the acronyms, names and stems a question has."""
     stems = F.transform(F.split("folded_query", " "), stem)
     q = queries.select("query_id", "folded_query", stems.alias("stems"))
@@ -92,16 +102,16 @@ def match_process(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     by_name = (F.col("name") != "") & F.col("folded_query").contains(F.col("name"))
     by_stem = (F.length("stem") >= 5) & F.array_contains("stems", F.col("stem"))
     score = F.greatest(*(F.when(hit, F.length(c)).otherwise(0) for hit, c in ((by_acronym, "acronym"), (by_name, "name"), (by_stem, "stem"))))
-    hits = q.join(F.broadcast(dictionary), by_acronym | by_name | by_stem).withColumn("score", score)
+    hits = met(q, dictionary, by_acronym | by_name | by_stem, most).withColumn("score", score)
     return best(hits, [F.desc("score"), F.col("value")]).select("query_id", "value")
 
 
-def match_reporter(queries: DataFrame, values: DataFrame) -> DataFrame:
+def match_reporter(queries: DataFrame, values: DataFrame, most: int = DICTIONARY_MOST) -> DataFrame:
     """(query_id, value) where one person alone is named, in full or by a last name of four letters or more."""
     d = values.select("value", fold_query("value").alias("folded")).withColumn("last", F.element_at(F.split("folded", " "), -1))
     named = F.col("folded_query").contains(F.col("folded"))
     by_last = (F.length("last") >= 4) & F.regexp_like("folded_query", F.concat(F.lit(r"\b"), quoted("last"), F.lit(r"\b")))
-    hits = queries.join(F.broadcast(d), named | by_last)
+    hits = met(queries, d, named | by_last, most)
     return hits.groupBy("query_id").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value")).where("n = 1").select("query_id", "value")
 
 
@@ -123,36 +133,33 @@ def match_chamber(folded: Column, chambers: list[tuple[list[str], str]]) -> Colu
     return out
 
 
-def match_acronym(queries: DataFrame, dictionary: DataFrame, guard: Column | None = None) -> DataFrame:
+def match_acronym(queries: DataFrame, dictionary: DataFrame, guard: Column | None = None, most: int = DICTIONARY_MOST) -> DataFrame:
     """(query_id, value): the component of the longest unambiguous acronym that stands alone in the question."""
     usable = dictionary.where((F.col("n_identities") == 1) & usable_acronym("acronym"))
     if guard is not None:
         usable = usable.where(guard)
-    hits = queries.join(F.broadcast(usable), mentions("folded_query", "acronym"))
+    hits = met(queries, usable, mentions("folded_query", "acronym"), most)
     return best(hits, [F.desc(F.length("acronym")), F.col("acronym")]).select("query_id", F.col("component").alias("value"))
 
 
-def match_name(queries: DataFrame, parts: DataFrame, context: Column, issuers: tuple[str, ...]) -> DataFrame:
+def match_name(queries: DataFrame, parts: DataFrame, context: Column, issuers: tuple[str, ...], most: int = DICTIONARY_MOST) -> DataFrame:
     """(query_id, value, n_identities): specific component names that the question holds, the shortest of each identity; a filter only with one."""
     named = parts.where((F.length("folded") >= NAME_LEAST) & specific(F.col("folded"), context, issuers) & ~bare_head(F.col("folded"), context))
-    hits = queries.join(F.broadcast(named), F.col("folded_query").contains(F.col("folded")))
+    hits = met(queries, named, F.col("folded_query").contains(F.col("folded")), most)
     return hits.groupBy("query_id").agg(F.countDistinct("identity").alias("n_identities"), F.min_by("component", F.struct(F.length("component"), "component")).alias("value"))
 
 
 class StructuredRetriever:
-    """corpus: doc_id and metadata columns. Dictionaries are checked to be small enough to broadcast."""
+    """corpus: doc_id and metadata columns. Dictionaries are broadcast in blocks of about `most` entries."""
 
-    def __init__(self, corpus: DataFrame, roles: Roles | None = None, most: int = 1_000_000):
-        self.corpus, self.roles = corpus, roles or Roles()
+    def __init__(self, corpus: DataFrame, roles: Roles | None = None, most: int = DICTIONARY_MOST):
+        self.corpus, self.roles, self.most = corpus, roles or Roles(), most
         r = self.roles
         self.processes = process_dictionary(corpus, r.process).cache()
         self.reporters = distinct_values(corpus, r.reporter).cache()
         self.entities = component_table(corpus, r.entity).cache()
         self.entity_acronyms = acronym_dictionary(self.entities).cache()
         self.unit_acronyms = acronym_dictionary(component_table(corpus, r.unit)).cache()
-        for d in (self.processes, self.reporters, self.entities, self.entity_acronyms, self.unit_acronyms):
-            if d.limit(most + 1).count() > most:
-                raise ValueError(f"a dictionary has more than {most} entries")
         self.context = [x["token"] for x in context_tokens(self.entities).select("token").collect()]  # at most 1 / CONTEXT_SHARE tokens a component has
 
     def interpret(self, queries: DataFrame) -> DataFrame:
@@ -161,9 +168,9 @@ class StructuredRetriever:
         q = queries.select("query_id", "query", fold_query("query").alias("folded_query"))
         context = F.array(*map(F.lit, self.context)).cast("array<string>")
         scalar = q.select("query_id", F.explode(F.array(F.struct(F.lit(r.chamber).alias("field"), match_chamber(F.col("folded_query"), r.chambers).alias("value")), F.struct(F.lit(r.date).alias("field"), match_date(F.col("query"), F.col("folded_query")).alias("value")))).alias("x")).select("query_id", "x.*").where("value is not null")
-        by_acronym = match_acronym(q, self.entity_acronyms, specific(base_identity("component"), context, r.issuers))
-        by_name = match_name(q, self.entities, context, r.issuers).where("n_identities = 1").select("query_id", "value").join(by_acronym, "query_id", "left_anti")
-        found = {r.process: match_process(q, self.processes), r.reporter: match_reporter(q, self.reporters), r.entity: by_acronym.union(by_name), r.unit: match_acronym(q, self.unit_acronyms)}
+        by_acronym = match_acronym(q, self.entity_acronyms, specific(base_identity("component"), context, r.issuers), self.most)
+        by_name = match_name(q, self.entities, context, r.issuers, self.most).where("n_identities = 1").select("query_id", "value").join(by_acronym, "query_id", "left_anti")
+        found = {r.process: match_process(q, self.processes, self.most), r.reporter: match_reporter(q, self.reporters, self.most), r.entity: by_acronym.union(by_name), r.unit: match_acronym(q, self.unit_acronyms, most=self.most)}
         return reduce(DataFrame.union, [scalar, *(d.select("query_id", F.lit(f).alias("field"), "value") for f, d in found.items())])
 
     def conditions(self, query: str) -> dict[str, str]:
@@ -187,14 +194,24 @@ class StructuredRetriever:
     def retrieve(self, query: str) -> Retrieval:
         """The set that meets the conditions, by id, without a score."""
         rows, found = self.select(query)
-        out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id"))).withColumn("score", F.lit(None).cast("double")).withColumn("evidence", F.create_map(*(F.lit(x) for kv in found.items() for x in kv)) if found else F.lit(None).cast("map<string,string>"))
+        out = positioned(rows, ["doc_id"], "rank", 1).withColumn("score", F.lit(None).cast("double")).withColumn("evidence", F.create_map(*(F.lit(x) for kv in found.items() for x in kv)) if found else F.lit(None).cast("map<string,string>"))
         return Retrieval(query, "structured", out, list(found), {"conditions": found, "n_conditions": len(found)})
 
 
-def conditions_filter(corpus: DataFrame, conditions: DataFrame, fields: list[str]) -> DataFrame:
-    """(query_id, doc_id) for a batch: corpus against the pivoted conditions(query_id, field, value); a query without conditions gets no rows."""
+def conditions_filter(corpus: DataFrame, conditions: DataFrame, fields: list[str], named: tuple[str, ...] = (), most: int = 100_000) -> DataFrame:
+    """(query_id, doc_id) for a batch: corpus against the pivoted conditions(query_id, field, value); a query without conditions gets no rows.
+
+    Fields in `named` (entities, units) match by their folded base name inside the document's folded field, as one question's do.
+    """
     wide = conditions.groupBy("query_id").pivot("field", fields).agg(F.first("value"))
-    both = [(F.col(f"q.`{f}`").isNull() | (strip(F.col(f"d.`{f}`")) == F.col(f"q.`{f}`"))) for f in fields]
-    return corpus.alias("d").join(F.broadcast(wide.alias("q")), reduce(lambda a, b: a & b, both)).select("query_id", "doc_id")
+    wide = wide.withColumns({f: base_identity(F.col(f"`{f}`")) for f in named})
+    docs = corpus.select("doc_id", *(fold_query(F.col(f"`{f}`")).alias(f) if f in named else strip(F.col(f"`{f}`")).alias(f) for f in fields))
+
+    def holds(f: str) -> Column:
+        own, asked = F.col(f"d.`{f}`"), F.col(f"q.`{f}`")
+        return asked.isNull() | (own.contains(asked) if f in named else own == asked)
+
+    both = reduce(lambda a, b: a & b, map(holds, fields))
+    return reduce(DataFrame.union, [docs.alias("d").join(F.broadcast(q.alias("q")), both).select("query_id", "doc_id") for q in blocks(wide, most)])
 
 

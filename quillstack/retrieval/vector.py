@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.vectors import dot
+from quillstack.operators.chunks import positioned
 from quillstack.retrieval.base import Retrieval
 
 EVIDENCE = 500
@@ -19,11 +21,14 @@ def scored(chunks: DataFrame, query: list[float], embedding: str = "embedding")
 
 
 def scored_many(chunks: DataFrame, queries: DataFrame, embedding: str = "embedding", vector: str = "vector", most: int = 10_000) -> DataFrame:
-    """Every stated query against every chunk; the query side is broadcast behind a check of its size."""
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries; pass them in blocks")
-    return chunks.crossJoin(F.broadcast(queries)).withColumn("score", dot(embedding, vector)).drop(vector)
+    """Every stated query against every chunk. Queries are counted and broadcast in blocks of about `most`."""
+    return reduce(DataFrame.union, [chunks.crossJoin(F.broadcast(q)).withColumn("score", dot(embedding, vector)).drop(vector) for q in blocks(queries, most)])
+
+
+def blocks(df: DataFrame, most: int) -> list[DataFrame]:
+    """df by the hash of its rows, in as many parts as leave about `most` rows in each; all of it if it is no larger."""
+    n = -(-df.count() // most)
+    return [df] if n <= 1 else [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == k) for k in range(n)]
 
 
 def max_pool(df: DataFrame, groups: list[str], score: Column | str, position: str, keep: list[str] = ()) -> DataFrame:
@@ -34,15 +39,17 @@ def max_pool(df: DataFrame, groups: list[str], score: Column | str, position: st
 
 
 def ranked(df: DataFrame, groups: list[str], score: str = "score", tie: str = "doc_id") -> DataFrame:
-    """df with `rank` from 1 by falling score, ties by id; groups empty: one ranking."""
-    window = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(window.orderBy(F.desc(score), tie)))
+    """df with `rank` from 1 by falling score, ties by id; groups empty: one ranking of the whole table, numbered by ranges of it."""
+    if not groups:
+        return positioned(df, [F.desc(score), F.col(tie)], "rank", 1)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(score), tie)))
 
 
 def top_k(df: DataFrame, groups: list[str], k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
-    """The k best of each group; without groups only the k rows that a top-k sort leaves are ranked."""
-    rows = df if groups else df.orderBy(F.desc(score), tie).limit(k)
-    return ranked(rows, groups, score, tie).where(F.col("rank") <= k)
+    """The k best of each group; without groups only the k rows that a top-k sort leaves are ranked, in one task."""
+    if groups:
+        return ranked(df, groups, score, tie).where(F.col("rank") <= k)
+    return df.orderBy(F.desc(score), tie).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
 
 
 class VectorRetriever:

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialised in the cluster's shared checkpoint folder; one of our own only where the session names none."""
+    """Materialised in the cluster's shared checkpoint folder; one of our own only in a local session that names none, as in tests."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstack-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstack-"))
     return df.checkpoint(eager=True)
 
 

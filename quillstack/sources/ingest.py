@@ -12,6 +12,7 @@ from quillstack.sources.manifest import Manifest
 
 #: Lengths of the hash suffix tried for a free name (fixed values).
 SUFFIX_DIGITS = (8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
+#: Outcomes of an ingestion (fixed values).
 STATUSES = ("ingested", "duplicate_content", "name_conflict_versioned", "integrity_error", "validation_error", "file_exists_consistent", "inconsistency_orphan_file", "manifest_pending", "blocked_pending_manifest")
 
 

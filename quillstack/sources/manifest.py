@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from quillstack.functions.hashing import file_sha256
 
+#: Fields of an entry that must be told (fixed values).
 REQUIRED = ("original_filename", "stored_filename", "downloaded_at", "ingested_at", "file_size_bytes", "sha256", "dataset", "dataset_year", "schema_version", "batch_id")
 KINDS = {"file_size_bytes": LongType(), "dataset_year": IntegerType()}
 SCHEMA = StructType([StructField(c, KINDS.get(c, StringType())) for c in (*REQUIRED[:6], "source_url", "source_identifier", *REQUIRED[6:])])

@@ -18,6 +18,18 @@ def stamped(path: Path, form: str = "%Y%m%d_%H%M%S") -> Path:
     return path if not path.exists() else path.with_name(f"{path.stem}_{datetime.now(UTC).strftime(form)}{path.suffix}")
 
 
+def together(folder: Path, names: list[str]) -> dict[str, Path]:
+    """Paths for files of one set by their plain names: as they are, or all with the same time if one of them is taken."""
+    paths = {n: folder / n for n in names}
+    if not any(p.exists() for p in paths.values()):
+        return paths
+    when, turn = datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ"), 0
+    while any(p.exists() for p in paths.values()):
+        mark = f"{when}_{turn}" if turn else when
+        paths, turn = {n: folder / f"{Path(n).stem}_{mark}{Path(n).suffix}" for n in names}, turn + 1
+    return paths
+
+
 def write_json(path: str | Path, value: object) -> None:
     """Whole or not at all."""
     path = Path(path)

@@ -80,6 +80,12 @@ def test_canonical_accounts_for_all_rows(spark, tmp_path):
     side = read_json(made["canonical.json"])
     assert side["n_accepted"] == 2 and side["dataset_fingerprint"] == fingerprint(spark.read.parquet(str(made["canonical.parquet"])))
     assert latest(tmp_path / "out", "canonical*.parquet") == made["canonical.parquet"]
+    log = tmp_path / "out" / "fingerprint_log.jsonl"
+    canon.run_canonical(rows(spark), CONFIG, manifest, tmp_path / "raw" / "f.csv", tmp_path / "out")
+    lines = [json.loads(x) for x in log.read_text().splitlines()]
+    assert len(lines) == 2 and lines[0]["dataset_fingerprint"] == side["dataset_fingerprint"] and lines[0]["n_rejected"] == side["n_rejected"]
+    with pytest.warns(UserWarning, match="has no line"):
+        canon.log_fingerprint(tmp_path / "no" / "log.jsonl", made["canonical.parquet"], CONFIG, side)
 
 
 def test_fingerprint_properties(spark):
@@ -121,7 +127,10 @@ def test_audit_tells_nought_from_not_run(spark, tmp_path):
     assert all(0 <= c["coverage_pct"] <= 100 for c in out["columns"])
     empty = audit.audit(rows(spark).limit(0), CONFIG)
     assert empty["columns"][0]["coverage_pct"] == 0.0 and empty["lengths"]["result"]["n_texts"] == 0
-    assert len(audit.save_reports(out, rows(spark), tmp_path / "r", "row_index")) == 5
+    files = audit.save_reports(out, rows(spark), tmp_path / "r", "row_index")
+    assert len(files) == 7 and (tmp_path / "r" / "columns.csv").read_text().splitlines()[0] == "column_name,n_total,n_missing,coverage_pct,n_distinct"
+    again = audit.save_reports(out, rows(spark), tmp_path / "r", "row_index")
+    assert not {*files} & {*again} and len([*(tmp_path / "r").iterdir()]) == 14
 
 
 def test_profile_report_is_stable(spark):

@@ -76,7 +76,7 @@ def test_unjudged_is_unknown(spark):
     assert {r["architecture"]: r["coverage"] for r in metrics.relevant_coverage(configs, results, known).collect()} == {"vector": 0.5, "hybrid": 0.0}
 
 
-SHEET = {"need_id": "NI-001", "nature": "mixed", "scope": {"corpus": "c", "selection_fingerprint": "0" * 64}}
+SHEET = {"need_id": "NI-001", "nature": "mixed", "scope": {"corpus": "c", "temporal": "2024", "selection_fingerprint": "0" * 64}}
 
 
 def test_need_sheets(spark, tmp_path):
@@ -84,11 +84,37 @@ def test_need_sheets(spark, tmp_path):
     (tmp_path / "NI-001.yaml").write_text(sheet.to_yaml())
     loaded = needs.load_sheets(tmp_path)
     assert loaded == [sheet] and needs.sheets_frame(spark, loaded).count() == 3 and sheet.matches_selection("0" * 64)
-    for bad in ({"need_id": "NI-01"}, {"extra": 1}, {"partial_relevance_rule": "x"}, {"equivalence_validation": {"status": "validated"}}, {"scope": {"corpus": "c", "selection_fingerprint": "F" * 64}}):
+    for bad in ({"need_id": "NI-01"}, {"extra": 1}, {"partial_relevance_rule": "x"}, {"equivalence_validation": {"status": "validated"}}, {"scope": {"corpus": "c", "temporal": "2024", "selection_fingerprint": "F" * 64}}, {"scope": {"corpus": "c", "selection_fingerprint": "0" * 64}}):
         with pytest.raises(ValueError):
             needs.NeedSheet(**(SHEET | bad))
+    condition = lambda basis, *fields: [{"description": "d", "relates_to": basis, "fields": list(fields)}]
+    for bad in (condition("mixed"), condition("textual", "RELATOR"), condition("metadata", "x")):
+        with pytest.raises(ValueError):
+            needs.NeedSheet(**SHEET, mandatory_conditions=bad)
+    own = needs.NeedSheet(**SHEET, mandatory_conditions=condition("metadata", "RELATOR") + condition("textual"))
+    assert own.mandatory_conditions[0].fields == ["RELATOR"]
+    (tmp_path / "NI-001.yaml").write_text(own.to_yaml())
+    assert needs.load_sheets(tmp_path) == [own]
     with pytest.raises(ValueError):
-        needs.NeedSheet(**SHEET, mandatory_conditions=[{"description": "d", "relates_to": "metadata", "fields": ["x"]}]).checked_fields({"y"})
+        needs.load_sheets(tmp_path, metadata_fields=("y",))
+    whole = {"formulations": {"direct": "a", "paraphrase": "b", "verbose": "c"}, "requested_facts": ["f"], "equivalence_validation": {"status": "validated", "rationale": "r", "reviewers": [{"id": "x"}]}}
+    assert needs.NeedSheet(**(SHEET | whole)).filled() >= {"direct", "rationale"}
+    with pytest.raises(ValueError, match="requested_facts"):
+        needs.NeedSheet(**(SHEET | whole | {"requested_facts": [" "]}))
+    assert needs.NeedSheet(**(SHEET | {"partial_relevance_rule": "x", "answer_cardinality": "enumeration"})).partial_relevance_rule == "x"
+
+
+def test_artifacts_must_belong_together(spark, retriever):
+    from quillstack.functions.hashing import fingerprint
+
+    selection = spark.createDataFrame([("d1", "x"), ("d2", "y")], "doc_id string, t string")
+    chunks = spark.createDataFrame([("d1", 0), ("d1", 1), ("d2", 2)], "doc_id string, pos int")
+    own = fingerprint(selection)
+    make = lambda sel, parts, meta, recorded=None: hybrid.HybridRetriever.from_artifacts(sel, parts, meta, retriever, None, recorded)
+    assert isinstance(make(selection, chunks, {"selection_fingerprint": own}, own), hybrid.HybridRetriever)
+    for sel, parts, meta, recorded in ((selection, chunks, {}, None), (selection, chunks, {"selection_fingerprint": own}, "0"), (selection, chunks.where("pos < 2"), {"selection_fingerprint": own}, None), (selection.union(selection), chunks, {"selection_fingerprint": fingerprint(selection.union(selection))}, None)):
+        with pytest.raises(hybrid.HybridIntegrityError):
+            make(sel, parts, meta, recorded)
 
 
 def test_checks():
@@ -111,6 +137,43 @@ def test_stream_appends_each_content_once(spark, tmp_path):
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["x", "y", "z"]
 
 
+def test_large_complements_are_sampled_and_empty_questions_skipped(spark, retriever, tmp_path):
+    """A draft without two of its formulations; a condition that more documents meet than the limit."""
+    from quillstack.evaluation import runs
+    from quillstack.sources.publish import read_json
+
+    corpus = spark.range(40).select(F.concat(F.lit("e"), F.col("id")).alias("doc_id"), F.lit("Plenário").alias("COLEGIADO"))
+    sheet = needs.NeedSheet(**SHEET, formulations={"direct": "plenario"}, mandatory_conditions=[{"description": "plenário", "relates_to": "metadata", "fields": ["COLEGIADO"]}])
+    asked = []
+
+    class Recorder:
+        def retrieve(self, query):
+            asked.append(query)
+            return retriever.retrieve(query)
+
+    made = runs.run_pool(spark, [sheet], {"structured": Recorder()}, corpus, tmp_path / "pool", most_complement=10)
+    assert asked == ["plenario"]
+    rows = [r for r in spark.read.parquet(str(made["candidates.parquet"])).collect() if r["doc_id"].startswith("e")]
+    plan = read_json(made["pool.json"], "strata")["NI-001/conditions"]
+    assert plan["n_r"] == 40 and len(rows) == plan["s_r"] == 29 and all(r["in_condition_complement"] and '"stratum":"R"' in r["strata"] for r in rows)
+    draft = needs.NeedSheet(**SHEET)
+    empty = runs.run_pool(spark, [draft], {"structured": Recorder()}, corpus, tmp_path / "none")
+    assert len(asked) == 1 and spark.read.parquet(str(empty["candidates.parquet"])).count() == 0
+
+
+def test_dictionaries_and_questions_in_blocks(spark):
+    """Blocks of a few entries give what one broadcast gives."""
+    words = spark.createDataFrame([(f"Nome {i} (AB{chr(65 + i)})",) for i in range(20)], "v string")
+    dictionary = structured.process_dictionary(words, "v")
+    queries = spark.createDataFrame([(i, f"casos ab{chr(97 + i)}") for i in range(20)], "query_id int, folded_query string")
+    want = sorted(map(tuple, structured.match_process(queries, dictionary).collect()))
+    assert len(want) == 20 and sorted(map(tuple, structured.match_process(queries, dictionary, 3).collect())) == want
+    chunks = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "doc_id int, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id int, vector array<double>")
+    rows = lambda most: sorted(map(tuple, vector.scored_many(chunks, asked, most=most).select("doc_id", "query_id", "score").collect()))
+    assert len(rows(100)) == 35 and rows(2) == rows(100)
+
+
 def test_runs_publish_whole_sets(spark, retriever, tmp_path):
     from quillstack.evaluation import runs
 
@@ -128,7 +191,11 @@ def test_runs_publish_whole_sets(spark, retriever, tmp_path):
 
     assert read_json(out["judgment.json"], "absent_references") == ["gone"] and read_json(out["judgment.json"], "n_pairs") == 3
     files = runs.notebook(spark.read.parquet(str(out["pairs.parquet"])), retriever.corpus, ["ENTIDADE"], {"NI-001": "criteria"}, tmp_path / "book", 2)
-    assert [f.name for f in files] == ["NI-001_01.md", "NI-001_02.md"] and "hybrid" not in files[0].read_text()
+    assert [f.name for f in files] == ["NI-001_01.md", "NI-001_02.md", "criteria.md", "pending.md"] and "hybrid" not in files[0].read_text()
+    assert files[3].read_text().count("- NI-001 ") == 3 and "criteria" in files[2].read_text()
+    assert read_json(out["judgment.json"], "by_source")["NI-001"]["n_strict"] == 1
+    cut = runs.notebook(spark.read.parquet(str(out["pairs.parquet"])), retriever.corpus.withColumn("source_key", F.lit("k1")), ["ENTIDADE"], {}, tmp_path / "short", 2, excerpt=4)
+    assert "the first 4 of" in cut[0].read_text() and "> k1" in cut[0].read_text()
     with pytest.raises(judgment.JudgmentCapExceeded):
         runs.run_judgment(spark, results, pairs("d3"), pairs("d1"), retriever.corpus, tmp_path / "none", cap=2)
     assert not (tmp_path / "none").exists()

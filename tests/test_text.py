@@ -38,6 +38,9 @@ def test_chunks_cover_and_overlap(spark):
 def test_folding(spark):
     assert one(spark, " 1ª  CÂMARA – Ação n° 3 ", text.fold_query("v"))[0] == "1a camara – acao no 3"
     assert one(spark, "Straße..  ", text.fold_diagnostic("v"))[0] == "strasse"
+    for s in ("ﬁn ŉ ΑΣ ος", "ſtop ẞ ß", "plain ÁÉ"):
+        assert one(spark, s, text.case_folded("v"))[0] == s.casefold()
+    assert text._case_folding()["ﬁ"] == "fi"
 
 
 def test_acronyms(spark):
@@ -64,6 +67,18 @@ class Words:
         return " ".join(ids)
 
 
+class Marked(Words):
+    """A tokenizer that says how many special tokens it adds."""
+
+    def num_special_tokens_to_add(self, pair):
+        return 9
+
+
+def test_windows_leave_room_for_the_tokenizers_own_special_tokens():
+    out = token_windows(" ".join(f"t{i}" for i in range(300)), Marked(), 64, 8)
+    assert max(len(w.split()) for w in out) == 64 - 9 - 4
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 600))
 def test_token_windows(n):
