@@ -66,8 +66,11 @@ def canonicalise(df: DataFrame, config: CorpusConfig, order: str = "row_index")
     return Canonical(project(kept, ["doc_id", "source_key", *config.canonical_columns()]), lost)
 
 
-def run_canonical(df: DataFrame, config: CorpusConfig, manifest: Manifest, file: str | Path, folder: str | Path) -> dict[str, Path]:
-    """Provenance, then the pending gate; ids must not collide and all rows be accounted for; then published with a sidecar."""
+def run_canonical(df: DataFrame, config: CorpusConfig, manifest: Manifest, file: str | Path, folder: str | Path, fingerprint_log: str | Path | None = None) -> dict[str, Path | str]:
+    """Provenance, then the pending gate; ids must not collide and all rows be accounted for; then published with a sidecar.
+
+    The log of fingerprints is a local file, beside the tables unless it is named.
+    """
     entry = manifest.validate(file)
     manifest.gate()
     out = canonicalise(df, config)
@@ -83,7 +86,7 @@ def run_canonical(df: DataFrame, config: CorpusConfig, manifest: Manifest, file:
             raise ValueError(f"{name} reads back with other rows")
 
     made = publish(df.sparkSession, folder, {"canonical.parquet": out.accepted, "rejected.parquet": out.rejected}, {"canonical.json": side}, check)
-    log_fingerprint(Path(folder) / "fingerprint_log.jsonl", made["canonical.parquet"], config, side)
+    log_fingerprint(Path(fingerprint_log or Path(folder) / "fingerprint_log.jsonl"), made["canonical.parquet"], config, side)
     return made
 
 

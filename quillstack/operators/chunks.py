@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.hashing import fingerprint
 from quillstack.functions.text import chunk_words, clean_html, document_text, words
 from quillstack.session import checkpointed
-from quillstack.sources.publish import read_json, write_json
+from quillstack.sources.storage import Folder
 
 #: Special tokens of tokenizers that don't say how many they add, and tokens left free for what decoding changes.
 SPECIAL_TOKENS, MARGIN = 2, 4
@@ -106,54 +106,53 @@ def build_index(spark: SparkSession, chunks: DataFrame, encode: Callable[[Column
 
     settings name the model and the chunking; a folder begun with others is refused unless overwrite is set.
     """
-    folder = Path(folder)
+    own = Folder(spark, folder)
     state = settings | {"chunks_fingerprint": fingerprint(chunks.select("doc_id", "chunk_index", "text")), "dim": dim, "shard_size": shard_size, "limit_docs": limit_docs}
-    known = read_json(folder / "state.json")
+    known = own.read_json("state.json")
     if known and known != state and not overwrite:
         raise IndexIntegrityError(f"begun with other settings: {sorted(k for k in state if known.get(k) != state[k])}")
     if overwrite or not known:
-        for name in ("chunks", "vectors"):
-            _remove(spark, folder / name)
-        (folder / "meta.json").unlink(missing_ok=True)
+        for name in ("chunks", "vectors", "meta.json"):
+            own.delete(name)
         rows = chunks if limit_docs is None else first_documents(chunks, limit_docs)
-        positioned(rows, ["doc_id", "chunk_index"]).withColumn("shard_id", shard_of("pos", shard_size)).write.mode("overwrite").parquet(str(folder / "chunks"))
-        write_json(folder / "state.json", state)
-    elif (meta := read_json(folder / "meta.json")) is not None:
+        positioned(rows, ["doc_id", "chunk_index"]).withColumn("shard_id", shard_of("pos", shard_size)).write.mode("overwrite").parquet(own.at("chunks"))
+        own.write_json("state.json", state)
+    elif (meta := own.read_json("meta.json")) is not None:
         return meta
-    placed = spark.read.parquet(str(folder / "chunks"))
+    placed = spark.read.parquet(own.at("chunks"))
     todo = placed
-    if (folder / "vectors").exists():
-        have = spark.read.parquet(str(folder / "vectors")).where(F.size("embedding") == dim).groupBy("shard_id").agg(F.count("*").alias("have"))
+    if own.exists("vectors"):
+        have = spark.read.parquet(own.at("vectors")).where(F.size("embedding") == dim).groupBy("shard_id").agg(F.count("*").alias("have"))
         whole = placed.groupBy("shard_id").agg(F.count("*").alias("n")).join(have, "shard_id").where("have = n").select("shard_id")
         todo = placed.join(whole, "shard_id", "left_anti")
     done = todo.withColumn("embedding", encode(F.col("text"))).repartition("shard_id")
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(str(folder / "vectors"))
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(own.at("vectors"))
     return consolidate(spark, folder)
 
 
 def consolidate(spark: SparkSession, folder: str | Path) -> dict:
     """The account of a complete build; refuses an incomplete one."""
-    folder = Path(folder)
-    state = read_json(folder / "state.json")
-    placed, vectors = spark.read.parquet(str(folder / "chunks")), spark.read.parquet(str(folder / "vectors"))
+    own = Folder(spark, folder)
+    state = own.read_json("state.json")
+    placed, vectors = spark.read.parquet(own.at("chunks")), spark.read.parquet(own.at("vectors"))
     wrong = placed.select("pos").join(vectors.where(F.size("embedding") == state["dim"]).select("pos"), "pos", "left_anti")
     if not wrong.isEmpty():
         raise IndexIntegrityError("some shards are incomplete")
     told = placed.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("shard_id").alias("n_shards")).first().asDict()
     meta = state | told | {"is_partial_index": state["limit_docs"] is not None}
-    write_json(folder / "meta.json", meta)
+    own.write_json("meta.json", meta)
     return meta
 
 
 def load_index(spark: SparkSession, folder: str | Path) -> tuple[DataFrame, dict]:
     """(chunks with embeddings, account) of a complete, whole index."""
-    folder = Path(folder)
-    meta = read_json(folder / "meta.json")
+    own = Folder(spark, folder)
+    meta = own.read_json("meta.json")
     if meta is None:
         raise IndexIntegrityError("no complete index is here")
     if meta["is_partial_index"]:
         raise IndexIntegrityError("the index covers part of the documents only")
-    vectors = spark.read.parquet(str(folder / "vectors"))
+    vectors = spark.read.parquet(own.at("vectors"))
     if lacking := {"doc_id", "chunk_index", "text", "embedding"} - set(vectors.columns):
         raise IndexIntegrityError(f"columns are missing: {sorted(lacking)}")
     told = vectors.agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != meta["dim"]).alias("wrong")).first()
@@ -161,7 +160,3 @@ def load_index(spark: SparkSession, folder: str | Path) -> tuple[DataFrame, dict
         raise IndexIntegrityError(f"{told['n']} chunks of {meta['n_chunks']}, {told['wrong']} of another size")
     return vectors, meta
 
-
-def _remove(spark: SparkSession, path: Path) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.sources.storage import Folder
+
 
 def stamped(path: Path, form: str = "%Y%m%d_%H%M%S") -> Path:
     """The path, or with the UTC time in its name if it is taken."""
@@ -52,28 +54,33 @@ def latest(folder: str | Path, pattern: str) -> Path | None:
     return max(Path(folder).glob(pattern), default=None, key=lambda p: p.name)
 
 
-def publish(spark: SparkSession, folder: str | Path, frames: dict[str, DataFrame], sidecars: dict[str, object] | None = None, check: Callable[[str, DataFrame], None] | None = None) -> dict[str, Path]:
-    """Writes all to a staging folder, reads the tables back, then moves everything; on any error nothing is published."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    staging = Path(tempfile.mkdtemp(prefix=".staging-", dir=folder))
+def publish(spark: SparkSession, folder: str | Path, frames: dict[str, DataFrame], sidecars: dict[str, object] | None = None, check: Callable[[str, DataFrame], None] | None = None) -> dict[str, Path | str]:
+    """Writes all to a staging folder, reads the tables back, then moves everything; on any error nothing is published.
+
+    The folder may be anywhere Spark's writers reach. Names that are taken get the time.
+    """
+    own, staging = Folder(spark, folder), f".staging-{uuid.uuid4().hex}"
+    own.make()
     try:
         for name, df in frames.items():
-            df.write.parquet(str(staging / name))
-            back = spark.read.parquet(str(staging / name))
+            df.write.parquet(own.at(f"{staging}/{name}"))
+            back = spark.read.parquet(own.at(f"{staging}/{name}"))
             if back.columns != df.columns:
                 raise ValueError(f"{name} reads back with other columns")
             if check:
                 check(name, back)
+        held = Folder(spark, own.at(staging))
+        held.make()
         for name, value in (sidecars or {}).items():
-            write_json(staging / name, value)
+            held.write_json(name, value)
         out = {}
         for name in [*frames, *(sidecars or {})]:
-            out[name] = stamped(folder / name)
-            (staging / name).rename(out[name])
+            place = own.free(name)
+            own.rename(f"{staging}/{name}", place)
+            out[name] = own.located(place)
         return out
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
+        own.delete(staging)
 
 
 def markdown_table(columns: list[str], rows: list[tuple], limit: int = 100) -> str:

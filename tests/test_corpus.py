@@ -181,3 +181,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("select") == 0 and run("profile") == 0
     assert read_json(latest(tmp_path / "selection", "selection*.json"), "n_eligible") == 2
     assert "fingerprint matches: True" in (tmp_path / "reports" / "profile.md").read_text()
+
+
+def test_folders_by_url(spark, tmp_path):
+    from quillstack.sources.storage import Folder
+
+    url = f"file://{tmp_path}/far"
+    made = publish(spark, url, {"t.parquet": spark.range(3).toDF("x")}, {"t.json": {"n": 3, "é": None}})
+    assert made["t.parquet"] == f"{url}/t.parquet" and spark.read.parquet(made["t.parquet"]).count() == 3
+    again = publish(spark, url, {"t.parquet": spark.range(4).toDF("x")}, {"t.json": {"n": 4}})
+    own = Folder(spark, url)
+    assert again["t.parquet"] != made["t.parquet"] and own.read_json("t.json") == {"n": 3, "é": None} and len(own.names("t*.json")) == 2
+    with pytest.raises(ValueError):
+        publish(spark, url, {"u.parquet": spark.range(3).toDF("x")}, check=lambda name, back: (_ for _ in ()).throw(ValueError(name)))
+    assert own.names("u*") == [] and own.names(".staging*") == [] and own.read_text("none") is None
