@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_map, fold, labelled_sample, read
+from quillstack.llm.common import arrow_map, fold, labelled_sample, read, release
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 17
@@ -67,79 +67,58 @@ class ToxicityModel:
         return np.add.reduceat(self.by_bucket[ids], np.cumsum(n) - n) / n if len(words) else np.zeros(0)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 600, batch: int = 128, rate: float = 0.03, seed: int = 7) -> ToxicityModel:
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their share of the text's mean): what each n-gram adds to the mean of words that are means of n-grams."""
+    counts = Counter(WORD.findall(text.lower()))
+    words = [*counts, ""]
+    weight = np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
+    weight = np.append(weight, CALM) / (weight.sum() + CALM)
+    ids, n = subwords(words)
+    own, at = np.unique(ids, return_inverse=True)
+    return own.astype(np.int32), np.bincount(at, weights=np.repeat(weight / n, n)).astype(np.float32)
+
+
+def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, steps: int = 800, batch: int = 128, rate: float = 0.03, decay: float = 1e-5, leave_out: float = 0.5, seed: int = 7) -> ToxicityModel:
     """Adam on the log loss over mini-batches, vectors and outputs together, for about `steps` batches.
 
-    The bias stays at the odds of the classes. Words of fewer than a thousandth
-    of the texts (two at least) are left out of the means; vectors start near zero, so n-grams never met stay neutral.
+    All words count, rare ones too: a text is held as the shares of its n-grams, of which there are at most BUCKETS. Each
+    batch leaves out a part of the n-grams and the weights decay, so that all n-grams of a telling word learn and single
+    texts aren't learned by heart. The bias stays at the odds of the classes; vectors start near zero, so n-grams never met
+    stay neutral. With two outputs the loss moves them in opposite ways, so their difference is all that is kept, and
+    a text's mean meets the outputs as a sum over its n-grams of one number each.
     """
     if len(set(labels.tolist())) < 2:  # nothing to learn: every text gets the prior
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    vocab: dict[str, int] = {"": 0}
-    docs = []
-    for text in texts:
-        at, n = np.unique(np.fromiter((vocab.setdefault(w, len(vocab)) for w in WORD.findall(text.lower())), dtype=np.int64), return_counts=True)
-        n = np.sqrt(n)
-        docs.append((np.append(at, 0), np.append(n, CALM) / (n.sum() + CALM)))
-    met = np.bincount(np.concatenate([a for a, _ in docs]), minlength=len(vocab))
-    least = max(2, len(texts) // 1000)
-    met[0] = least  # the empty word stays
-    place = np.cumsum(met >= least) - 1
-    docs = [(place[a[met[a] >= least]], w[met[a] >= least]) for a, w in docs]
-    # n-grams of the words that stay alone: most words of a corpus are rare, and theirs would fill the driver
-    ids, size = subwords([w for w, n in zip(vocab, met.tolist(), strict=True) if n >= least])
-    del vocab
-    begin = np.cumsum(size) - size
+    docs = [bag(t) for t in texts]
     table = rng.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32)
-    out = np.zeros((2, dim), dtype=np.float32)
-    out[1] = rng.normal(0, 1, dim)
+    out = rng.normal(0, 1, dim).astype(np.float32)  # the second output less the first
     share = float(labels.mean())
-    bias = np.array([0.0, np.log(share / (1 - share))], dtype=np.float32)
+    bias = np.log(share / (1 - share))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out)]
     step = 0
     for _ in range(-(-steps * batch // len(docs))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            words = np.concatenate([docs[r][0] for r in rows])
-            weight = np.concatenate([docs[r][1] for r in rows]).astype(np.float32)
-            doc = np.repeat(np.arange(len(rows)), [len(docs[r][0]) for r in rows])
-            own, back = np.unique(words, return_inverse=True)
-            n = size[own]
-            ends = np.cumsum(n)
-            grams = ids[np.repeat(begin[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            vectors = np.add.reduceat(table[grams], ends - n, axis=0) / n[:, None] if len(own) else np.zeros((0, dim), np.float32)
-            mean = np.zeros((len(rows), dim), dtype=np.float32)
-            for k in range(dim):
-                mean[:, k] = np.bincount(doc, weights=weight * vectors[back, k], minlength=len(rows))
-            logits = mean @ out.T + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p /= len(rows)
-            toward = p @ out  # the loss's slope at each text's mean
-            slope = np.zeros_like(table)
-            each = np.repeat(np.arange(len(own)), n)
-            for k in range(dim):
-                by_word = np.bincount(back, weights=weight * toward[doc, k], minlength=len(own)) / np.maximum(n, 1)
-                slope[:, k] = np.bincount(grams, weights=by_word[each], minlength=BUCKETS)
+            ids = np.concatenate([docs[r][0] for r in rows])
+            held = (rng.random(BUCKETS) >= leave_out).astype(np.float32) / (1 - leave_out)
+            weight = np.concatenate([docs[r][1] for r in rows]) * held[ids]
+            n = np.array([len(docs[r][0]) for r in rows])
+            logit = np.add.reduceat(weight * (table @ out)[ids], np.cumsum(n) - n) + bias
+            off = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels[rows]) / len(rows)
+            slope = np.bincount(ids, weights=weight * np.repeat(off, n), minlength=BUCKETS).astype(np.float32)
             step += 1
-            for q, g, (m, v) in zip((table, out), (slope, p.T @ mean), state, strict=True):
+            for q, g, (m, v) in zip((table, out), (slope[:, None] * out + decay * table, slope @ table + decay * out), state, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel((table @ (out[1] - out[0])).astype(np.float32), float(np.log(prior / (1 - prior))))
+    return ToxicityModel((table @ out).astype(np.float32), float(np.log(prior / (1 - prior))))
 
 
 def text_values(model: ToxicityModel, texts: list[str]) -> np.ndarray:
     """The logits of texts, without the workers' memo."""
-    out, calm = np.zeros(len(texts)), float(model.word_values([""])[0])
-    for i, text in enumerate(texts):
-        counts = Counter(WORD.findall(text.lower()))
-        n = np.sqrt(np.array(list(counts.values()), dtype=np.float64))
-        out[i] = ((model.word_values(list(counts)) * n).sum() + CALM * calm) / (n.sum() + CALM)
-    return out + model.bias
+    return np.array([model.by_bucket[ids] @ weight for ids, weight in map(bag, texts)]) + model.bias
 
 
 def calibrate(model: ToxicityModel, texts: list[str], labels: np.ndarray, prior: float) -> ToxicityModel:
@@ -179,7 +158,7 @@ class _Values(dict):
 _memo: dict[str, object] = {}
 
 
-def scorer(docs: DataFrame, model: ToxicityModel, max_words: int = 500_000):
+def scorer(docs: DataFrame, model: ToxicityModel, max_words: int = 100_000):
     """A function for workers from texts to scores. They keep the values of the words they have met (emptied at max_words)."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
@@ -222,11 +201,17 @@ def reject(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFra
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(scores(batch.column("text")) < limit))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, held_out, score, predicted.
+
+    A text that is null, empty or without words is read as empty words alone. Repeated rows score alike; equal ids with
+    different texts each get their own score. Without labels of both kinds every score is the share of label 1.
+    """
     docs = read(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 0
     model = fit(docs, read(spark, sf_dir, "labels"), held_out)
