@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,8 +87,8 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to named columns."""
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str, at_once: int = 1024) -> DataFrame:
+    """mapInArrow with a function from one batch, of at most so many rows, to named columns."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -95,12 +96,24 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None:
-                yield to_batch(out, target)
+            for at in range(0, batch.num_rows, at_once):
+                if (out := rows(batch.slice(at, at_once))) is not None:
+                    yield to_batch(out, target)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give back to the system what this worker has freed: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type, from_pandas=True) for f in target], schema=target)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_map, cut, read, unique_name
+from quillstack.llm.common import arrow_map, cut, read, release, unique_name
 
 WORD = re.compile(r"\w+")
 LEAST, COVERAGE = 5, 0.5
@@ -261,8 +261,9 @@ def clean(docs: DataFrame, found: Iterator[Index], coverage: float = COVERAGE) -
 
         def run(batches):
             for batch in batches:
-                keep = [not shared.value.matches(t, coverage) for t in batch.column("text").to_pylist()]
+                keep = [not shared.value.matches(t.as_py(), coverage) for t in batch.column("text")]
                 yield batch.filter(pa.array(keep, type=pa.bool_()))
+            release()
 
         return docs.mapInArrow(run, docs.schema)
 

@@ -171,8 +171,9 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def overlaps(left: list[bytes], right: list[bytes], names_at_once: int = 16384) -> np.ndarray:
+def overlaps(left: list[bytes], right: list[bytes], names_at_once: int | None = None) -> np.ndarray:
     """Exact similarities of all pairs of two lists of bags, over so many different marks at once."""
+    names_at_once = names_at_once or max(256, (1 << 23) // (len(left) + len(right)))
     own = [np.frombuffer(b, np.uint64) for b in (*left, *right)]
     size, n = np.array([len(b) for b in own]), len(left)
     mark, row = np.concatenate(own), np.repeat(np.arange(len(own)), size)
@@ -280,10 +281,15 @@ class NearDuplicates:
         pairs = few.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> y.class <> x.class), y -> struct(x.node as a, y.node as b))))")).alias("p")).select("p.a", "p.b")
         return pairs
 
-    def _many_apart(self, mixed: DataFrame, small: int = 12, block: int = 128) -> DataFrame:
-        """Links (a, b, similarity) between classes in larger bands, one for each member and other class of a pair of blocks."""
+    def _many_apart(self, mixed: DataFrame, small: int = 12, block: int = 1024, block_bytes: int = 32_000_000) -> DataFrame:
+        """Links (a, b, similarity) between classes in larger bands, one for each member and other class of a pair of blocks.
+
+        Blocks are bounded by members and by bytes of bags; a bag is sent once for each block of its band.
+        """
         least = self.least
-        many = mixed.where(F.col("size") > small).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        many = mixed.where(F.col("size") > small)
+        weighed = many.join(self.bags.select("node", F.octet_length("bag").alias("weight")), "node").groupBy("band").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("weight") / block_bytes)).cast("int").alias("blocks"))
+        many = many.join(weighed, "band")
         many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
         members = many.join(self.nodes.select("node", "bands"), "node").join(self.bags, "node")
         dealt = members.select("band", "node", "class", "bands", "bag", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillstack.llm.common import parts, read, table, to_batch
+from quillstack.llm.common import parts, read, release, table, to_batch
 
 MAGIC = b"QDAC"
 RANK_BLOCK = 512
@@ -119,7 +119,7 @@ class UnitEncoder:
     emptied when it has max_units entries; that changes no id.
     """
 
-    def __init__(self, path: str, max_units: int = 1_000_000):
+    def __init__(self, path: str, max_units: int = 400_000):
         import os
         import re
 
@@ -259,6 +259,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
                     yield flush()
         if held:
             yield flush()
+        release()
 
     return table(ranged.mapInArrow(run, FILE_SCHEMA), "tokens", compression="zstd")
 
@@ -281,6 +282,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 ends = f.starts.tolist()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield to_batch({"shard": [shard] * len(crc), "doc_id": f.doc_ids, "begin": f.starts[:-1] + f.before, "n_tokens": np.diff(f.starts), "ids_crc32": crc}, target)
+        release()
 
     docs = files.select("shard", "payload").mapInArrow(run, DOC_SCHEMA)
     offsets = spark.createDataFrame(bases, "shard int, base long")

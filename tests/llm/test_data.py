@@ -174,14 +174,24 @@ def test_reordered_passages_are_caught(spark):
     assert decontam.leaks(df, []).count() == 0 and decontam.clean(df, []).count() == len(docs)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-def test_targets(sizes):
-    weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
-    got = mixing.targets(sizes, weights)
-    assert all(t <= 2 * n + 1e-6 for t, n in zip(got, sizes, strict=True)) and abs(sum(got) - 1.5 * sum(sizes)) < 1e-6 * max(1, sum(sizes))
-    free = [t / w for t, w, n in zip(got, weights, sizes, strict=True) if t < 2 * n - 1e-9]
-    assert not free or max(free) - min(free) < 1e-6 * max(1, max(free))
+def brute_targets(sizes, weights, ratio=1.5, most=2.0):
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), ratio * sum(sizes)
+    while free:
+        total = sum(weights[i] for i in free)
+        full = {i for i in free if left * weights[i] / total > most * sizes[i]}
+        for i in full or free:
+            out[i] = most * sizes[i] if full else left * weights[i] / total
+        left -= sum(out[i] for i in full)
+        free = free - full if full else set()
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(6)
+    for sizes in ([0], [5], [0, 0, 0], [1, 1000, 1, 1000, 7], [rng.randint(0, 1000) for _ in range(12)], [3**k for k in range(12)], [10**9, 1, 1, 1]):
+        ranked = spark.createDataFrame(list(enumerate(sizes)), "__rank long, words long")
+        got = [r["target"] for r in mixing.with_targets(ranked, mixing.WEIGHTS, 1.5, 2.0).orderBy("__rank").collect()]
+        assert got == pytest.approx(brute_targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]))
 
 
 @settings(max_examples=60, deadline=None)
@@ -204,8 +214,16 @@ def test_mix(spark):
     taken = {}
     for r in out:
         taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * len(r["__shards"])
-    for s, t, n in zip(mix.sources["source"], mix.sources["target"], mix.sources["words"], strict=True):
-        assert abs(taken[s] - t) <= max(8, 0.01 * n), (s, taken[s], t)
+    told = mix.sources.orderBy("__rank").collect()
+    assert [r["source"] for r in told] == ["a", "b", "c", "zero", None]
+    assert [r["target"] for r in told] == pytest.approx(brute_targets([r["words"] for r in told], [3, 1, 2, 3, 1]))
+    for r in told:
+        assert abs(taken[r["source"]] - r["target"]) <= max(8, 0.01 * r["words"]), r
+    by_shard = {}
+    for r in out:
+        for k in r["__shards"]:
+            by_shard[k] = by_shard.get(k, 0) + r["size"]
+    assert len(by_shard) == 4 and max(by_shard.values()) < 2.5 * min(by_shard.values())
     again = mixing.plan(df.repartition(3), block_words=500)
     key = lambda m: sorted((r["__key"], r["__shards"]) for r in m.assign(m.sized).collect())
     assert key(mix) == key(again)
@@ -215,6 +233,18 @@ def test_mix(spark):
     assert mixing.mixed(df.limit(0), empty, "__shard", "__place").count() == 0
 
 
+def test_mix_of_a_hundred_thousand_sources(spark):
+    """More sources than groups and than the driver should hold one by one; every third text without words."""
+    docs = spark.range(150_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").otherwise("a b c").alias("text"), F.concat(F.lit("s"), F.col("id") % 100_000).alias("source"))
+    mix = mixing.plan(docs, shards=8)
+    out = mix.assign(mix.sized)
+    told = out.groupBy("source").agg(F.sum(F.col("size") * F.size("__shards")).alias("taken"), F.first("target").alias("target"), F.first("words").alias("words"), F.max(F.size("__shards")).alias("most"))
+    assert told.count() == 100_000 == mix.sources.count()
+    assert told.where("abs(taken - target) > 3.5 or taken > 2 * words or most > 2").count() == 0
+    shards = {r["k"]: r["n"] for r in out.select(F.explode("__shards").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert len(shards) == 8 and max(shards.values()) < 1.2 * min(shards.values())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
