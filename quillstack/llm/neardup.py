@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_map, cut, drop, read, unique_name
+from quillstack.llm.common import arrow_map, cut, drop, marked, marks, read, unique_name
 from quillstack.llm.graph import components
 from quillstack.llm.langid import letter_table
 
@@ -327,25 +327,6 @@ def keyed(docs: DataFrame, text: str = "text", h1: str = "h1", h2: str = "h2") -
     return docs.withColumns({h1: F.xxhash64(F.lit(29), whole), h2: F.xxhash64(F.lit(31), whole)})
 
 
-#: Bits of the bitmaps that are sent to all tasks, as buckets of Spark's bitmap functions (32768 bits each): two megabytes.
-BITMAP_BUCKETS = 512
-
-
-def marks(hashes: DataFrame) -> DataFrame:
-    """(bucket, bits): a bitmap of fixed size of the only column of hashes."""
-    place = F.pmod(F.col(hashes.columns[0]), F.lit(BITMAP_BUCKETS * 32768))
-    placed = hashes.select(F.floor(place / 32768).cast("int").alias("bucket"), (place % 32768).alias("at"))
-    return cut(placed.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), "bitmap")
-
-
-def marked(df: DataFrame, bits: DataFrame, column: str = "h1") -> DataFrame:
-    """The rows of df whose hash is in the bitmap, and some others; at most BITMAP_BUCKETS rows of 4 kB are broadcast."""
-    place = F.pmod(F.col(column), F.lit(BITMAP_BUCKETS * 32768))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(floor(__at / 8) as int) + 1, 1)")), 16, 10).cast("int")
-    dealt = df.withColumns({"__at": place % 32768, "bucket": F.floor(place / 32768).cast("int")})
-    return dealt.join(F.broadcast(bits), "bucket").where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).drop("bucket", "bits", "__at")
-
-
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the class's least doc_id), keep (whether it is the row that stays), exact (copies of its text),
     texts (different ones in its class), h1 and h2 (its text's hash), class (a number; classes may share their least doc_id).

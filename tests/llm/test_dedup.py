@@ -15,7 +15,8 @@ from quillstack.llm.graph import components
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor "
 
 
-def brute_repeats(rows, n=50):
+def brute_gone(rows, n=50):
+    """(id, bytes, a 1 for each byte that goes), in the rows' order."""
     first = {}
     key = lambda d: (d is None, d or 0)
     for d, t in sorted(rows, key=lambda r: key(r[0])):
@@ -29,8 +30,12 @@ def brute_repeats(rows, n=50):
         for i in range(len(b) - n + 1):
             if key(first[b[i : i + n]]) < key(d):
                 gone[i : i + n] = b"\1" * n
-        out.append((d, len(b), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
-    return sorted(out, key=repr)
+        out.append((d, b, bytes(gone)))
+    return out
+
+
+def brute_repeats(rows, n=50):
+    return sorted(((d, len(b), bytes(x for x, g in zip(b, gone, strict=True) if not g)) for d, b, gone in brute_gone(rows, n)), key=repr)
 
 
 def corpus(seed=1, n=60):
@@ -198,16 +203,34 @@ def test_banded_distance(spark):
         a, b = sorted((a, changed(rng, a, rng.randint(0, 4))), key=len, reverse=True)
         if len(a) - len(b) <= 2 and len(b) >= 20:
             rows.append((a, b, min(3, distance(a, b))))
-    got = spark.createDataFrame(rows, "p string, t string, d int").select("d", F.least(F.lit(3), F.expr(linededup.within("p", "t", 2))).alias("e")).collect()
+    got = spark.createDataFrame(rows, "p string, t string, d int").select("d", F.least(F.lit(3), F.expr(linededup.within("split(p, '')", "split(t, '')", 2))).alias("e")).collect()
     assert all(r["d"] == r["e"] for r in got)
 
 
-def test_line_dedup_matches_brute_force(spark):
-    rng = random.Random(4)
-    lines = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(22, 30))) for _ in range(40)]
-    lines += [changed(rng, rng.choice(lines), rng.randint(1, 3)) for _ in range(120)] + ["", "short", "  "]
-    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 10)))) for i in range(80)] + [(None, lines[0]), (900, None), (901, "\n\n"), (902, "long " * 3000)]
-    known = sorted({x for _, t in rows for x in (t or "").split("\n") if x.strip()})
+def read_line(line):
+    """(reading, symbols) as the operator's contract has them."""
+    words = line.split(" ")
+    return (1, words) if len(line) >= 60 and len(line) <= 12 * len(words) else (0, list(line))
+
+
+def line_limit(kind, n):
+    own = ((60, 6), (50, 5), (40, 4), (30, 3), (20, 2), (5, 1)) if kind else ((80, 4), (60, 3), (20, 2), (5, 1))
+    return next((k for least, k in own if n >= least), 0)
+
+
+def linked(a, b):
+    """The distance of two lines that are linked, else None."""
+    (ka, x), (kb, y) = read_line(a), read_line(b)
+    if min(len(a), len(b)) < 60:
+        ka, x, kb, y = 0, list(a), 0, list(b)
+    most = line_limit(ka, min(len(x), len(y)))
+    if ka != kb or abs(len(x) - len(y)) > most or len({*x} - {*y}) > most or len({*y} - {*x}) > most:
+        return None
+    d = distance(x, y)
+    return d if d <= most else None
+
+
+def line_roots(known):
     root = {x: x for x in known}
 
     def find(x):
@@ -215,52 +238,102 @@ def test_line_dedup_matches_brute_force(spark):
             x = root[x]
         return x
 
-    long = [x for x in known if 20 <= len(x) < 100]
-    for i, a in enumerate(long):
-        for b in long[:i]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+    for i, a in enumerate(known):
+        for b in known[:i]:
+            if find(a) != find(b) and linked(a, b) is not None:
                 root[find(a)] = find(b)
-    met, want = set(), {}
+    return {x: find(x) for x in known}
+
+
+def brute_lines(rows):
+    known = sorted({x for _, t in rows for x in (t or "").split("\n") if x.strip()})
+    root = line_roots(known)
+    size = {}
+    for x in known:
+        size[root[x]] = size.get(root[x], 0) + 1
+    met, want = {}, {}
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept = []
+        kept, near, links = [], 0, 0
         for x in (t or "").split("\n"):
-            if not x.strip() or find(x) not in met:
+            first = met.setdefault(root[x], x) if x.strip() and root[x] in met else None
+            if first is None:
                 kept.append(x)
+            near += first is not None and first != x
             if x.strip():
-                met.add(find(x))
-        want[d] = "\n".join(kept)
+                met.setdefault(root[x], x)
+                links += size[root[x]] > 1
+        want[d] = ("\n".join(kept), near, links)
+    return want
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    lines = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(4, 30))) for _ in range(60)]
+    lines += [" ".join(rng.choice(words) for _ in range(rng.randint(10, 50))) for _ in range(30)]
+    for _ in range(200):
+        base = rng.choice(lines)
+        if len(base) < 60:
+            lines.append(changed(rng, base, rng.randint(1, 3)))
+        else:
+            own = base.split(" ")
+            for _ in range(rng.randint(1, 2)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            lines.append(" ".join(own))
+    lines += ["", "short", "shor", "  ", "Copyright 2024 X.", "Copyright 2025 X.", "1234", "1235"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 10)))) for i in range(90)] + [(None, lines[0]), (900, None), (901, "\n\n"), (902, "long " * 3000), (903, "\n".join(lines[-8:]))]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, line int, at string")
     out = linededup.dedup_lines(df)
-    assert {r["doc_id"]: r["kept"] for r in out.collect()} == want
+    want = brute_lines(rows)
+    got = {r["doc_id"]: (r["kept"], r["n_near"], r["n_links"]) for r in out.collect()}
+    assert got == want
+    assert sum(near for _, near, _ in want.values()) > 30
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
     assert linededup.dedup_lines(df.limit(0)).count() == 0
-    copy = hashlib.sha256(want[0].encode()).hexdigest()
+    copy = hashlib.sha256(want[0][0].encode()).hexdigest()
     assert out.where("doc_id = 0").select(F.sha2("kept", 256)).first()[0] == copy
 
 
 def test_line_limit_grows_with_length(spark):
-    """Every pair within a tenth (from 60 characters on a twentieth) of the shorter line is linked, with spaces or without, and no other."""
-    limit = lambda n: n // 20 if n >= 60 else 2 if n >= 20 else n // 10
-    assert all(n // linededup.GRAM > limit(n) for n in range(linededup.LONG, 5000))
+    """Every pair within the limit of its shorter line is in one class, with spaces or without, at all borders of length, and links tell their distance."""
     rng = random.Random(11)
     lines = set()
-    for k, n in enumerate([8, 10, 12, 15, 19, 21, 40, 58, 59, 60, 61, 79, 80, 100, 160, 240, 400] * 2):
+    for n in [4, 5, 6, 10, 19, 20, 21, 40, 57, 58, 59, 60, 61, 62, 79, 80, 100, 160, 240]:
         for alphabet in ("abcdefé     ", "bcdfghjklé", "aeinrst"):
             base = "".join(rng.choice(alphabet) for _ in range(n - 1)) + "b"
-            lines |= {base} | {changed(rng, base, m) for m in (1, limit(n), limit(n), limit(n) + 1, limit(n) + 3 + k)}
-            # evenly spread changes leave the shortest runs
-            lines.add("".join("#" if i % 20 == 19 else c for i, c in enumerate(base)))
+            lines |= {base} | {changed(rng, base, m) for m in (1, 2, 2, 3, 4, 5)}
+    for n in (9, 10, 19, 20, 29, 30, 39, 40, 41, 49, 50, 59, 60, 61, 79, 80, 81, 100, 180):
+        base = [rng.choice(["alpha", "be", "gamma", "delta", "epsilon", "z"]) + str(rng.randrange(30)) for _ in range(n)]
+        for m in (0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 6, 6, 7):
+            own = list(base)
+            for _ in range(m):
+                i = rng.randrange(len(own))
+                own[i : i + rng.choice((0, 1, 1))] = [] if rng.random() < 0.3 else [f"new{rng.randrange(100)}"]
+            lines.add(" ".join(own))
+        # evenly spread changes leave the shortest runs
+        step = max(1, n // (line_limit(1, n) + 1))
+        lines.add(" ".join("#" if i % step == step - 1 and i // step < line_limit(1, n) else w for i, w in enumerate(base)))
     lines = sorted(x for x in lines if x.strip())
-    want = set()
-    for i, a in enumerate(lines):
-        for b in lines[:i]:
-            most = limit(min(len(a), len(b)))
-            if abs(len(a) - len(b)) <= most and sum(map(abs, ((a.count(c) - b.count(c)) for c in "abcdefghijklnrst# "))) <= 2 * most and distance(a, b) <= most:
-                want.add(frozenset((a, b)))
-    assert len([p for p in want if min(map(len, p)) >= 60]) >= 150
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     steps = linededup.LineDuplicates(df)
-    name = {r["line_id"]: lines[r["doc_id"]] for r in steps.seen.collect()}
-    got = [(frozenset((name[r["a"]], name[r["b"]])), r["edits"]) for r in steps.links().collect()]
-    assert {p for p, _ in got} == want and len(got) == len(want)
-    assert all(e == distance(*p) for p, e in got)
+    name = {r["line_id"]: r["line"] for r in steps.lines.collect()}
+    links, classes = steps.links()
+    root, found = line_roots(lines), {x: x for x in lines} | {name[r["node"]]: name[r["class"]] for r in classes.collect()}
+    groups = lambda of: sorted(sorted(x for x in lines if of[x] == r) for r in {*of.values()})
+    assert groups(found) == groups(root)
+    assert sum(len(g) > 1 and len(g[0]) >= 60 for g in groups(root)) > 20
+    told = [(name[r["a"]], name[r["b"]], r["edits"]) for r in links.collect()]
+    assert all(e == linked(a, b) for a, b, e in told)
+
+
+def test_families_of_like_lines_make_few_pairs(spark, monkeypatch):
+    """n lines that differ in one character: pairs grow with n, also where keys are dealt to several tasks."""
+    monkeypatch.setattr(linededup, "FREQUENT", 8)
+    counts = []
+    for n in (200, 400, 800):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same words again and again "), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit(" then "), F.floor(F.col("id") / 100).cast("string"), F.lit(" and the end of it")).alias("text"))
+        steps = linededup.LineDuplicates(df)
+        links, classes = steps.links()
+        counts.append(links.count())
+        assert classes.select("class").distinct().count() == 1 and classes.count() == n
+    assert counts[2] < 6 * counts[0] and counts[2] < 8 * 800
