@@ -37,6 +37,8 @@ SPAN = LENGTH - GRAM + 1
 HOT = 4096
 #: Buckets of stretches for each part, so that a bucket's arrays stay small.
 SPREAD = 4
+#: Bytes of text in a part, so that a task's memory is bounded whatever the cluster's number of shuffle partitions.
+PART_BYTES = 128_000_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LAST = np.iinfo(np.int64).max  # stands for a null id, which is larger than any other
 
@@ -301,7 +303,10 @@ def remove_repeats(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     shorter than the length stay whole. Matches never cross documents.
     """
     spark = docs.sparkSession
-    n = n_parts or parts(spark)
+    if not n_parts:  # a part's texts are held by one task
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        n_parts = max(parts(spark), -(-size // PART_BYTES))
+    n = n_parts
     keys = even_keys(spark, n)  # of parts and of buckets
     number = {k: i for i, k in enumerate(keys)}
     spread = even_keys(spark, n, SPREAD)  # of the buckets where stretches meet
@@ -457,5 +462,6 @@ def _asked(p: Part, hot: np.ndarray):
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see remove_repeats for nulls, short texts, ties and repeated rows)."""
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
