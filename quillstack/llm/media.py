@@ -1,8 +1,8 @@
 """Media columns in ISO base media containers.
 
 `mux` stores a byte string as one uncompressed grey video track: 576 bytes a sample (24 x 24 pixels of 8 bits), a
-sync sample every `KEY_EVERY`. `probe` walks the nested boxes of any such container, decodes its sample tables and
-reports codec, duration and the byte range of every keyframe; it never decodes a sample. `samples` gives the stored
+sync sample every `KEY_EVERY`. `probe` walks the nested boxes of any such container, decodes its sample tables, and the
+runs of its fragments if it has any, and reports codec, duration and the byte range of every keyframe; it never decodes a sample. `samples` gives the stored
 bytes back from the tables' offsets.
 """
 
@@ -20,7 +20,7 @@ from quillstack.llm.common import arrow_map, read, table
 
 SIDE, UNIT, TIMESCALE, KEY_EVERY, CODEC = 24, 576, 25, 12, b"raw "
 #: Boxes that hold boxes, with the bytes of their own that come first.
-NESTING = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"moof": 0, b"traf": 0, b"udta": 0, b"stsd": 8, b"meta": 4}
+NESTING = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"moof": 0, b"traf": 0, b"mvex": 0, b"udta": 0, b"stsd": 8, b"meta": 4}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -97,22 +97,87 @@ def _table(data: bytes, at: int, columns: int, kind: str = ">u4") -> np.ndarray:
     return np.frombuffer(data, dtype=kind, count=n * columns, offset=at + 8).astype(np.int64).reshape(n, columns) if columns > 1 else np.frombuffer(data, dtype=kind, count=n, offset=at + 8).astype(np.int64)
 
 
+class Fragments:
+    """The samples that movie fragments add to tracks, from their headers, runs and the tracks' defaults."""
+
+    def __init__(self, data: bytes):
+        self.data, self.defaults, self.runs = data, {}, {}
+        self.moof, self.base, self.track, self.own, self.next = 0, 0, 0, (0, 0, 0), None
+
+    def meet(self, kind: bytes, at: int, end: int) -> None:
+        """One box, in order: trex, moof, tfhd, trun."""
+        data = self.data
+        if kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">IIIII", data, at + 4)
+            self.defaults[track] = (duration, size, flags)
+        elif kind == b"moof":
+            # data offsets count from the first byte of the box
+            self.moof = at - (16 if data[at - 16 : at - 12] == b"\0\0\0\1" and data[at - 12 : at - 8] == b"moof" else 8)
+            self.next = None
+        elif kind == b"tfhd":
+            flags, self.track = struct.unpack_from(">II", data, at)
+            at += 8
+            # without a base of its own a later track fragment follows the data of the one before
+            self.base = self.moof if flags & 0x20000 or self.next is None else self.next
+            self.next = self.base
+            if flags & 0x1:
+                self.base = self.next = struct.unpack_from(">Q", data, at)[0]
+                at += 8
+            at += 4 * bool(flags & 0x2)
+            own = list(self.defaults.get(self.track, (0, 0, 0)))
+            for i, bit in enumerate((0x8, 0x10, 0x20)):
+                if flags & bit:
+                    own[i] = struct.unpack_from(">I", data, at)[0]
+                    at += 4
+            self.own = tuple(own)
+        elif kind == b"trun":
+            flags, n = struct.unpack_from(">II", data, at)
+            flags, at = flags & 0xFFFFFF, at + 8
+            start = self.next
+            if flags & 0x1:
+                start = self.base + struct.unpack_from(">i", data, at)[0]
+                at += 4
+            first = None
+            if flags & 0x4:
+                first = struct.unpack_from(">I", data, at)[0]
+                at += 4
+            columns = [i for i, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+            if at + 4 * n * len(columns) > end:
+                raise ValueError("a run is cut")
+            cells = np.frombuffer(data, ">u4", n * len(columns), at).reshape(n, len(columns)).astype(np.int64)
+            duration, size, kinds = (cells[:, columns.index(i)] if i in columns else np.full(n, self.own[i], dtype=np.int64) for i in range(3))
+            if first is not None and n:
+                kinds = np.r_[first, kinds[1:]]
+            self.runs.setdefault(self.track, []).append((start + np.cumsum(size) - size, size, (kinds & 0x10000) == 0, duration))
+            self.next = start + int(size.sum())
+
+    def of(self, track: int) -> list[tuple[np.ndarray, ...]]:
+        return self.runs.get(track, [])
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Of each track: codec, timescale, duration, width, height, and arrays of sample offsets, sizes and sync samples."""
+    """Of each track: codec, timescale, duration, width, height (of pictures alone), and arrays of sample offsets, sizes and sync samples."""
     out: list[dict] = []
+    fragments = Fragments(data)
     for path, at, end in boxes(data):
         kind = path[-1]
         if kind == b"trak":
-            out.append({"codec": "", "timescale": 0, "duration": 0, "width": 0, "height": 0, "sync": None})
+            out.append({"id": 0, "handler": b"", "codec": "", "timescale": 0, "duration": 0, "width": 0, "height": 0, "sync": None})
+        if path[0] == b"moof" or kind == b"trex":
+            fragments.meet(kind, at, end)
         if not out or b"trak" not in path:
             continue
         t = out[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t["id"] = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+        elif kind == b"hdlr" and path[-2] == b"mdia":
+            t["handler"] = data[at + 8 : at + 12]
+        elif kind == b"mdhd":
             long = data[at] == 1
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
         elif len(path) > 1 and path[-2] == b"stsd" and not t["codec"]:
             t["codec"] = kind.decode("latin-1")
-            if end - at >= 28:
+            if t["handler"] == b"vide" and end - at >= 28:
                 t["width"], t["height"] = struct.unpack_from(">HH", data, at + 24)
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, at + 4)
@@ -143,6 +208,12 @@ def tracks(data: bytes) -> list[dict]:
         t["at"] = chunks[chunk] + before - base[np.cumsum(first) - 1] if len(chunk) else before
         t["sizes"] = sizes
         t["sync"] = np.arange(len(sizes)) if t["sync"] is None else t["sync"]
+        if more := fragments.of(t.pop("id")):
+            places, lengths, syncs, lasting = (np.concatenate(x) for x in zip(*more, strict=True))
+            t["sync"] = np.r_[t["sync"], len(sizes) + np.flatnonzero(syncs)]
+            t["at"], t["sizes"] = np.r_[t["at"], places], np.r_[sizes, lengths]
+            t["duration"] = t["duration"] or int(lasting.sum())
+            sizes = t["sizes"]
         if len(sizes) and int((t["at"] + sizes).max()) > len(data):
             raise ValueError("a sample lies beyond the end of the data")
     return out
@@ -210,10 +281,12 @@ def digest(stored: DataFrame) -> DataFrame:
     """Payload and container digests and the feature of each stored row, all from the bytes as read back."""
 
     def rows(batch) -> dict:
-        out: dict = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes")}
         for cell in batch.column("media"):
             data = cell.as_py()
-            payload = samples(data)
+            payload, t = samples(data), tracks(data)[0]
+            at = t["at"][t["sync"]]
+            out["keyframes"].append([{"begin": a, "end": b} for a, b in zip(at.tolist(), (at + t["sizes"][t["sync"]]).tolist(), strict=True)])
             out["payload_bytes"].append(len(payload))
             out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
             out["tail_crc32"].append(zlib.crc32(payload[-32:]))
@@ -222,8 +295,12 @@ def digest(stored: DataFrame) -> DataFrame:
             out["feature"].append(feature(data))
         return out | {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")}
 
-    return arrow_map(stored, rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(stored, rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<begin:long,end:long>>")
 
 
 def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: the digests and feature of its stored bytes and its keyframes' byte ranges.
+
+    A null or empty text is one sample of padding. Equal texts have equal values; null ids stay null; texts of any length are whole.
+    """
     return digest(store(read(spark, sf_dir, "documents")))

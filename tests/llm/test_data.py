@@ -92,6 +92,38 @@ def test_media_tables_of_other_writers():
     assert media.samples(data) == b"aaaaabbbbbbccccccc" and t["codec"] == "mp4a" and t["sync"].tolist() == [0, 1, 2]
 
 
+def test_fragmented_media():
+    """Two fragments of two tracks: sizes by sample, by track default and by header default; sync from flags; sound has no picture size."""
+    import struct
+
+    full, box = media._full, media._box
+
+    def track(number, handler, kind, entry):
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(kind, entry)), full(b"stsz", struct.pack(">II", 0, 0)), full(b"stsc", struct.pack(">I", 0)), full(b"stco", struct.pack(">I", 0)))
+        mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), handler, bytes(12), b"x\0"), box(b"minf", stbl))
+        return box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0), bytes(60)), mdia)
+
+    video = bytes(24) + struct.pack(">HH", 64, 48) + bytes(50)
+    sound = bytes(24) + struct.pack(">HH", 999, 999) + bytes(10)
+    moov = box(b"moov", track(1, b"vide", b"avc1", video), track(2, b"soun", b"mp4a", sound), box(b"mvex", full(b"trex", struct.pack(">IIIII", 1, 1, 40, 0, 0x10000)), full(b"trex", struct.pack(">IIIII", 2, 1, 20, 3, 0))))
+
+    def moof(length):
+        # video: first sample by its own flags, sizes by sample; sound follows on at once, with the track's size
+        one = box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), full(b"trun", struct.pack(">IiIII", 2, length + 8, 0, 5, 7), flags=0x1 | 0x4 | 0x200))
+        two = box(b"traf", full(b"tfhd", struct.pack(">II", 2, 0x0), flags=0x20), full(b"trun", struct.pack(">I", 2)))
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), one, two)
+
+    part = moof(len(moof(0)))
+    body = b"vvvvvwwwwwww" + b"aaabbb"
+    data = moov + part + box(b"mdat", body) + part + box(b"mdat", body.upper())
+    picture, voice = media.tracks(data)
+    assert media.samples(data) == b"vvvvvwwwwwwwVVVVVWWWWWWW" and picture["sync"].tolist() == [0, 2] and picture["duration"] == 160
+    assert (picture["width"], picture["height"], voice["width"], voice["height"], voice["codec"]) == (64, 48, 0, 0, "mp4a")
+    assert b"".join(data[a : a + n] for a, n in zip(voice["at"].tolist(), voice["sizes"].tolist(), strict=True)) == b"aaabbbAAABBB" and voice["sync"].tolist() == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        media.tracks(data[:-3])
+
+
 def test_probe_survives_bad_media(spark):
     good = media.mux(media.pad(b"abc" * 1000))
     rows = [(1, good), (2, b"xx"), (3, None), (4, good[:300]), (5, b""), (6, good[:-1])]

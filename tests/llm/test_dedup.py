@@ -1,6 +1,7 @@
 """Suffix, near-duplicate and line dedup against brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -10,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstack.llm import linededup, neardup, suffix
-from quillstack.llm.graph import components
+from quillstack.llm.graph import components, least_labels
 
+SF = "/root/testdata/sf0.01"
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor "
 
 
@@ -128,6 +130,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_near_duplicates_of_a_whole_table(spark):
+    """All pairs of the table's texts, compared exactly, have the same classes: no true pair is missed there and no other linked."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    bags = neardup.bags([r["text"] for r in rows])
+    share = neardup.overlaps(bags, bags)
+    node, least = least_labels(*(x[np.nonzero(share >= 0.8)[k]] for k, x in ((0, np.array([r["doc_id"] for r in rows])), (1, np.array([r["doc_id"] for r in rows])))))
+    want = dict(zip(node.tolist(), least.tolist(), strict=True))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == {r["doc_id"]: want.get(r["doc_id"], r["doc_id"]) for r in rows}
+    pairs = np.triu(share >= 0.8, 1)
+    assert pairs.sum() > 20 and len({*got.values()}) < len(rows)
+
+
 def test_unlike_texts_under_one_id_all_stay(spark):
     """Null and repeated ids hold several classes; each class keeps one row."""
     text = lambda k: " ".join(f"{k}{i}" for i in range(40))
