@@ -29,6 +29,15 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOLES = "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 = 0 THEN concat(source, '..') WHEN doc_id % 17 = 0 THEN concat(' ', source, '; ', lang, ' ') ELSE source END"
 
 
+#: A part's type with an invented acronym.
+KIND = "concat(p_type, ' (', upper(translate(substr({hash}, 1, 4), '0123456789', 'ghijklmnop')), ')')"
+KIND_SQL = "p_type || ' (' || upper(translate(substr(sha256(p_type), 1, 4), '0123456789', 'ghijklmnop')) || ')'"
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.expr(KIND.format(hash="sha2(p_type, 256)")).alias("kind"))
+
+
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.column_profile(holed(spark, sf_dir).select("doc_id", "text", "lang", "source"))
 

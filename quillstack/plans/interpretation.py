@@ -12,7 +12,7 @@ from quillstack.evaluation import judgment, metrics, pool
 from quillstack.functions import sampling, text, vectors
 from quillstack.operators import chunks
 from quillstack.plans import retrieval
-from quillstack.plans.corpus import BLANK, SQL_WORDS, read
+from quillstack.plans.corpus import BLANK, KIND_SQL, SQL_WORDS, kinds, read
 from quillstack.retrieval import structured, vector
 
 MONTHS = "'janeiro', 'fevereiro', 'MARÇO', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro'"
@@ -33,13 +33,6 @@ def chambers_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions_on_orders(spark, sf_dir).select("query_id", structured.match_chamber(folded, ROLES.chambers).alias("chamber"), structured.match_date(F.col("query"), folded).alias("session"))
 
 
-KIND = "concat(p_type, ' (', upper(translate(substr({hash}, 1, 4), '0123456789', 'ghijklmnop')), ')')"
-
-
-def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.expr(KIND.format(hash="sha2(p_type, 256)")).alias("kind"))
-
-
 def process_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's question names its kind, by its name or its acronym in turn."""
     own = kinds(spark, sf_dir)
@@ -201,7 +194,6 @@ _ALL = (chambers_and_dates, process_by_question, names_and_acronyms, reporters_n
 QUERIES = {f.__name__: f for f in _ALL}
 
 _folded = retrieval._folded
-_KIND_SQL = "p_type || ' (' || upper(translate(substr(sha256(p_type), 1, 4), '0123456789', 'ghijklmnop')) || ')'"
 _STEM_SQL = "CASE " + " ".join(f"WHEN ends_with(token, '{e}') AND length(token) - {len(e)} >= 5 THEN substr(token, 1, length(token) - {len(e)})" for e in text.ENDINGS) + " ELSE token END"
 _CELL_SQL = "CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN ' NaN ' ELSE concat('|', html) END"
 _SIZE_SQL = "least({n}, CAST(ceil(96.03999999999999::DOUBLE / (1.0::DOUBLE + 95.03999999999999::DOUBLE / {n})) AS BIGINT))"
@@ -214,12 +206,12 @@ def _wilson_sql(p: str, n: str, sign: str) -> str:
 
 ORACLES = {
     "chambers_and_dates": "SELECT o_orderkey AS query_id, CASE o_orderkey % 4 WHEN 0 THEN 'Primeira Câmara' WHEN 1 THEN 'Plenário' WHEN 2 THEN 'Segunda Câmara' END AS chamber, CASE WHEN o_orderkey % 4 < 2 THEN strftime(o_orderdate, '%d/%m/%Y') END AS session FROM orders",
-    "process_by_question": f"SELECT p_partkey AS query_id, {_KIND_SQL} AS value FROM part",
-    "names_and_acronyms": f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE regexp_extract({_KIND_SQL}, '\\((.*)\\)', 1) END AS acronym FROM part",
+    "process_by_question": f"SELECT p_partkey AS query_id, {KIND_SQL} AS value FROM part",
+    "names_and_acronyms": f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE regexp_extract({KIND_SQL}, '\\((.*)\\)', 1) END AS acronym FROM part",
     "reporters_named": "SELECT s_suppkey AS query_id, s_name AS value FROM supplier WHERE s_suppkey % 2 = 0 OR s_name = (SELECT max(s_name) FROM supplier)",
     "specific_names": "WITH t AS (SELECT DISTINCT p_name, list_filter(string_split(p_name, ' '), lambda t: length(t) >= 4) AS a FROM part) SELECT p_name, len(list_filter(a, lambda t: t NOT IN ('small', 'ring', 'widget'))) > 0 AND p_name <> 'blue gear' AS is_specific, string_split(p_name, ' ')[1] IN ('small', 'ring', 'widget') AND len(a) <= 2 AS is_bare FROM t",
-    "unit_acronyms": f"SELECT p_partkey AS query_id, {_KIND_SQL} AS value FROM part",
-    "entities_in_batch": f"WITH d AS (SELECT p_partkey AS doc_id, p_type, lower(p_name || '; ' || {_KIND_SQL}) AS e FROM part) SELECT 'a' AS query_id, doc_id FROM d WHERE contains(e, 'small') UNION ALL SELECT 'b', doc_id FROM d WHERE contains(e, 'ring') AND p_type = 'ECONOMY'",
+    "unit_acronyms": f"SELECT p_partkey AS query_id, {KIND_SQL} AS value FROM part",
+    "entities_in_batch": f"WITH d AS (SELECT p_partkey AS doc_id, p_type, lower(p_name || '; ' || {KIND_SQL}) AS e FROM part) SELECT 'a' AS query_id, doc_id FROM d WHERE contains(e, 'small') UNION ALL SELECT 'b', doc_id FROM d WHERE contains(e, 'ring') AND p_type = 'ECONOMY'",
     "stems": f"WITH w AS (SELECT unnest(string_split({_folded('text')}, ' ')) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w WHERE token <> '' GROUP BY token) SELECT token, {_STEM_SQL} AS stem, n FROM c",
     "shown_values": f"WITH v AS (SELECT page_id, {_CELL_SQL} AS v FROM pages) SELECT page_id, replace(replace(CASE WHEN length(coalesce(v, '')) > 40 THEN substr(v, 1, 40) || '…' ELSE coalesce(v, '') END, '|', '\\|'), chr(10), ' ') AS cell, sha256(CASE WHEN v IS NULL THEN '' WHEN lower(trim(v)) = 'nan' THEN '(empty)' ELSE regexp_replace(v, '^{BLANK}+|{BLANK}+$', '', 'g') END) AS shown_sha256 FROM v",
     "unit_vectors": "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length, CASE WHEN vec_id % 7 = 0 THEN 0.0::DOUBLE ELSE round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) END AS first FROM embeddings",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstack.evaluation import judgment, metrics, pool
 from quillstack.functions import sampling, text
-from quillstack.plans.corpus import BLANK, read
+from quillstack.plans.corpus import BLANK, KIND_SQL, kinds, read
 from quillstack.retrieval import hybrid, structured, vector
 
 NAMES = ("direct", "paraphrase", "verbose")
@@ -158,19 +158,24 @@ ENTITIES = ["Conselho Fictício de Pesquisa (CFP)", "Conselho Fictício de Pesqu
 QUESTIONS = ["decisões sobre o Conselho Ficticio de Pesquisa", "o que decidiu a cfp em 2024", "transporte: AET", "casos da Sma/XX e da IEA", "Fundação Imaginária (em Liquidação)", "nada a ver"]
 
 
-def _entities(spark: SparkSession) -> DataFrame:
-    return structured.component_table(spark.createDataFrame([(e,) for e in ENTITIES], "entity string"), "entity")
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invented institutions and the kinds of all parts."""
+    own = spark.createDataFrame([(e,) for e in ENTITIES], "entity string").union(kinds(spark, sf_dir).select("kind"))
+    return structured.component_table(own, "entity")
 
 
 def acronym_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.acronym_dictionary(_entities(spark)).select("acronym", "n_identities", "component")
+    return structured.acronym_dictionary(_entities(spark, sf_dir)).select("acronym", "n_identities", "component")
 
 
 def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string").select("query_id", text.fold_query("query").alias("folded_query"))
+    """The invented questions and one on each part, which names its kind by its acronym."""
+    own = kinds(spark, sf_dir).select((F.col("p_partkey") + 100).alias("query_id"), F.concat(F.lit("casos de "), text.name_and_acronym("kind")[1]).alias("query"))
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, query string").union(own)
+    q = asked.select("query_id", text.fold_query("query").alias("folded_query"))
     none = F.array().cast("array<string>")
-    by_acronym = structured.match_acronym(q, structured.acronym_dictionary(_entities(spark)))
-    by_name = structured.match_name(q, _entities(spark), none, ()).where("n_identities = 1").select("query_id", "value")
+    by_acronym = structured.match_acronym(q, structured.acronym_dictionary(_entities(spark, sf_dir)))
+    by_name = structured.match_name(q, _entities(spark, sf_dir), none, ()).where("n_identities = 1").select("query_id", "value")
     return by_acronym.withColumn("matched_by", F.lit("acronym")).union(by_name.join(by_acronym, "query_id", "left_anti").withColumn("matched_by", F.lit("name")))
 
 
@@ -280,7 +285,7 @@ def _folded(v: str) -> str:
 
 
 _VALUES = ", ".join("('" + e.replace("'", "''") + "')" for e in ENTITIES)
-_PARTS = f"""v AS (SELECT * FROM (VALUES {_VALUES}) t(entity)),
+_PARTS = f"""v AS (SELECT * FROM (VALUES {_VALUES}) t(entity) UNION ALL SELECT {KIND_SQL} FROM part),
  c AS (SELECT DISTINCT trim(regexp_replace(trim(x), '\\.+$', '')) AS component FROM v, unnest(string_split(entity, ';')) u(x)),
  pt AS (SELECT component, regexp_replace({_folded('component')}, '[. ]+$', '') AS folded, regexp_replace(trim(regexp_replace(regexp_replace({_folded('component')}, '\\([^)]*\\)', ' ', 'g'), '{BLANK}+', ' ', 'g')), '[. ]+$', '') AS identity FROM c WHERE component <> ''),
  g AS (SELECT component, identity, unnest(regexp_extract_all(component, '\\(([^)]+)\\)', 1)) AS grp FROM pt),
@@ -304,7 +309,7 @@ ORACLES = {
  n AS (SELECT count(*) AS n FROM c WHERE component <> ''), t AS (SELECT DISTINCT component, unnest(string_split({_folded('component')}, ' ')) AS token FROM c WHERE component <> '')
  SELECT token, count(*) AS df FROM t, n WHERE length(token) >= 4 GROUP BY token, n HAVING count(*) >= 0.02::DOUBLE * n AND n >= 200""",
     "acronym_dictionary": f"WITH {_PARTS} SELECT acronym, n_identities, component FROM ad",
-    "dictionary_match": f"""WITH {_PARTS}, qs AS (SELECT query_id, {_folded('query')} AS fq FROM (VALUES {_ASKED}) t(query_id, query)),
+    "dictionary_match": f"""WITH {_PARTS}, qs AS (SELECT query_id, {_folded('query')} AS fq FROM (SELECT * FROM (VALUES {_ASKED}) t(query_id, query) UNION ALL SELECT p_partkey + 100, 'casos de ' || regexp_extract({KIND_SQL}, '\\((.*)\\)', 1) FROM part)),
  ha AS (SELECT query_id, component AS value, row_number() OVER (PARTITION BY query_id ORDER BY length(acronym) DESC, acronym) AS n FROM qs, ad WHERE n_identities = 1 AND (contains(acronym, '/') OR length(acronym) >= 3) AND regexp_matches(fq, '(^|[^\\w/])' || regexp_escape(acronym) || '([^\\w/]|$)')),
  hn AS (SELECT query_id, arg_min(component, (length(component), component)) AS value FROM qs, pt WHERE length(folded) >= 12 AND len(list_filter(string_split(folded, ' '), lambda t: length(t) >= 4)) > 0 AND contains(fq, folded) GROUP BY query_id HAVING count(DISTINCT identity) = 1)
  SELECT query_id, value, 'acronym' AS matched_by FROM ha WHERE n = 1 UNION ALL SELECT query_id, value, 'name' FROM hn WHERE query_id NOT IN (SELECT query_id FROM ha)""",
