@@ -343,6 +343,17 @@ def test_line_limit_grows_with_length(spark):
     assert all(e == linked(a, b) for a, b, e in told)
 
 
+def test_counts_of_symbols_bound_the_distance(spark):
+    """Counts of any size, also above 255 and in the last byte, never tell lines apart that are near."""
+    lines = ["w " * 999 + "end", "w " * 1000 + "end", "w " * 255 + "a b c d e f g h", "w " * 256 + "a b c d e f g h", "a b " * 130, "x y z " * 300, "x y z " * 300 + "q"]
+    steps = linededup.LineDuplicates(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    told = steps.sketched(steps.lines.select("line_id"))
+    both = told.toDF("x", "kx", "sx", "cx").crossJoin(told.toDF("y", "ky", "sy", "cy")).select("x", "y", linededup.counts_apart("cx", "cy").alias("d")).collect()
+    name = {r["line_id"]: r["line"] for r in steps.lines.collect()}
+    near = {(name[r["x"]], name[r["y"]]): r["d"] for r in both}
+    assert len(near) == 49 and near[lines[0], lines[1]] == 1 and near[lines[2], lines[3]] == 1 and near[lines[5], lines[6]] == 2 and near[lines[0], lines[5]] > 12
+
+
 def test_families_of_like_lines_make_few_pairs(spark, monkeypatch):
     """n lines that differ in one character: pairs grow with n, also where keys are dealt to several tasks."""
     monkeypatch.setattr(linededup, "FREQUENT", 8)
