@@ -97,7 +97,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, step
     bias = np.log(share / (1 - share))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out)]
     step = 0
-    for _ in range(-(-steps * batch // len(docs))):
+    for _ in range(-(-steps // -(-len(docs) // batch))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
