@@ -21,8 +21,6 @@ the way back, name a stretch within its part.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -188,7 +186,12 @@ def rotations(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     at = np.arange(n) - start
 
     def ahead(step: int) -> np.ndarray:
-        return start + (at + step) % long
+        to = at + step
+        if step > 2 * int(size.min()):
+            return start + to % long
+        for _ in range(-(-step // int(size.min()))):  # cheaper than a division
+            np.subtract(to, long, out=to, where=to >= long)
+        return start + to
 
     rank = text.astype(np.uint64)
     width = 1
@@ -221,7 +224,7 @@ def merge(steps: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     opened[:1] = True
     for transforms in steps:
         joined = np.concatenate(transforms)
-        by_shard = np.argsort(z, kind="stable")  # the k-th of a shard in the interleave has the k-th symbol of its transform
+        by_shard = np.concatenate([np.flatnonzero(z == i) for i in range(len(sizes))]) if len(sizes) < 9 else np.argsort(z, kind="stable")  # the k-th of a shard in the interleave has the k-th symbol of its transform
         symbol = np.empty_like(joined)
         symbol[by_shard] = joined
         block = np.cumsum(opened, dtype=np.int32)
@@ -251,26 +254,42 @@ def repeats(strings: list[bytes], least: np.ndarray, depth: int = LENGTH, shard_
     text[:] = np.where(body, names[raw], 0)
     share = max(1, min(shard_bytes, -(-len(raw) // 2)))
     shard = np.minimum(first // share, (len(raw) - 1) // share)
-    orders, places = [], []
+    orders = []
     for _, members in _grouped(shard):
         lo, hi = int(first[members[0]]), int(first[members[-1]] + size[members[-1]])
         orders.append(rotations(text[lo:hi], first[members] - lo, size[members]) + lo)
-    for order in orders:
-        own = np.searchsorted(first, order, side="right") - 1
-        places.append((first[own], order - first[own], size[own]))
 
-    # a transform's symbols are as many preceding bytes as 16 bits can name: fewer iterations for the same depth
-    @cache
-    def symbols(k: int) -> list[np.ndarray] | None:
-        wide = [sum(text[start + (at - j - 1) % long].astype(np.uint64) << np.uint64(8 * j) for j in range(k)) for start, at, long in places]
-        names = np.unique(np.concatenate(wide))
-        return [np.searchsorted(names, w).astype(np.uint16) for w in wide] if len(names) <= 1 << 16 else None
+    def before(x: np.ndarray) -> np.ndarray:
+        """Of each place the value at the one before it in its string's rotation."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[first] = x[first + size - 1]
+        return out
 
-    k = next(k for k in range(min(6, depth), 0, -1) if symbols(k) is not None)
+    last, base = before(text), int(used.sum()) + 1
+
+    def longer(name: np.ndarray) -> np.ndarray | None:
+        """Names of one byte more, in the same order; None if 16 bits can't name them."""
+        wide = before(name).astype(np.int32) * base + last
+        seen = np.zeros((int(name.max()) + 1) * base, bool)
+        seen[wide] = True
+        known = np.flatnonzero(seen)
+        if len(known) > 1 << 16:
+            return None
+        names = np.empty(len(seen), np.uint16)
+        names[known] = np.arange(len(known))
+        return names[wide]
+
+    # a transform's symbols are as many preceding bytes as 16 bits can name: fewer iterations for the same depth
+    named = [last.astype(np.uint16)]
+    while len(named) < min(6, depth) and (more := longer(named[-1])) is not None:
+        named.append(more)
+    symbols = lambda k: [named[k - 1][order] for order in orders]
+    k = len(named)
     z, opened = merge([symbols(k)] * (depth // k) + ([symbols(depth % k)] if depth % k else []))
     place = np.empty(len(raw), np.int64)
     place[np.argsort(z, kind="stable")] = np.concatenate(orders)
-    own = np.searchsorted(first, place, side="right") - 1
+    own = np.repeat(np.arange(len(first)), size)[place]
     whole = place - first[own] + depth < size[own]  # windows that end before the string does
     ids = np.where(whole, least[own], _LAST)
     starts = np.flatnonzero(opened)
