@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -374,6 +375,21 @@ def test_counts_of_symbols_bound_the_distance(spark):
     assert len(near) == 49 and near[lines[0], lines[1]] == 1 and near[lines[2], lines[3]] == 1 and near[lines[5], lines[6]] == 2 and near[lines[0], lines[5]] > 12
 
 
+def test_keys_of_lines_run_in_methods_that_are_compiled(spark):
+    """The JVM leaves methods of over 8000 bytes to its interpreter; the classes of length give the same values as their table."""
+    lines = spark.createDataFrame([(1, "a line of text", 14)], "line_id long, line string, n int")
+    two = spark.range(1).selectExpr("id AS a", "id + 1 AS b")
+    for df in (linededup.line_keys(lines), two.select(linededup.counts_apart("a", "b").alias("d")).where("d < 9")):
+        told = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+        assert sizes and max(sizes) < 8000
+    sizes = spark.range(200).select(F.col("id").cast("int").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    for r in sizes.select("n", "k", linededup.limit(F.col("k"), F.col("n")).alias("t"), linededup.layout(F.col("k"), F.col("n")).alias("b")).collect():
+        own = [c for c in linededup.CLASSES[r["k"]] if r["n"] >= c[0]]
+        assert r["t"] == (own[-1][1] if own else 0) == line_limit(r["k"], r["n"])
+        assert r["b"] == (own[-1][0] + (r["n"] - own[-1][0]) // own[-1][2] * own[-1][2] if own else -1)
+
+
 def test_families_of_like_lines_make_few_pairs(spark, monkeypatch):
     """n lines that differ in one character: pairs grow with n, also where keys are dealt to several tasks."""
     monkeypatch.setattr(linededup, "FREQUENT", 8)
