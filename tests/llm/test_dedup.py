@@ -401,3 +401,36 @@ def test_families_of_like_lines_make_few_pairs(spark, monkeypatch):
         counts.append(links.count())
         assert classes.select("class").distinct().count() == 1 and classes.count() == n
     assert counts[2] < 6 * counts[0] and counts[2] < 8 * 800
+
+
+@pytest.mark.parametrize("written", [linededup.WRITTEN, 7])
+def test_every_link_between_different_lines_is_counted(spark, monkeypatch, written):
+    """Also links inside a class, where keys are dealt to several tasks and where different words have one character; copies of a line are one."""
+    monkeypatch.setattr(linededup, "FREQUENT", 1)
+    monkeypatch.setattr(linededup, "SAMPLED", 2)
+    monkeypatch.setattr(linededup, "WRITTEN", written)
+    rng = random.Random(7)
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen".split()
+    lines = [f"Copyright {y} by X." for y in (2019, 2024, 2025)]
+    for size in (12, 22, 31):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(own))
+                own[i : i + rng.choice((0, 1, 1))] = [rng.choice(words)] * rng.randint(0, 1)
+            lines.append(" ".join(own))
+    known = sorted({*lines})
+    want = {(a, b): linked(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if linked(a, b) is not None}
+    degree = {x: sum(x in pair for pair in want) for x in known}
+    df = spark.createDataFrame([*enumerate(lines), (900, "\n".join(lines[:5])), (901, None)], "doc_id long, text string")
+    steps = linededup.LineDuplicates(df)
+    name = {r["line_id"]: r["line"] for r in steps.lines.collect()}
+    assert {tuple(sorted((name[r["a"]], name[r["b"]]))): r["edits"] for r in steps.every().collect()} == want
+    assert len(want) > len(known)
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    assert [out[i]["n_pairs"] for i in range(len(lines))] == [degree[x] for x in lines]
+    assert out[900]["n_pairs"] == sum(degree[x] for x in lines[:5]) and out[901]["n_pairs"] == 0 and out[901]["classes"] == []
+    root = line_roots(known)
+    near = [(x, y) for x in range(len(lines)) for y in range(x) if degree[lines[x]] and degree[lines[y]]]
+    assert all((out[x]["classes"] == out[y]["classes"]) == (root[lines[x]] == root[lines[y]]) for x, y in near)
