@@ -106,13 +106,22 @@ def match_process(queries: DataFrame, dictionary: DataFrame, most: int = DICTION
     return best(hits, [F.desc("score"), F.col("value")]).select("query_id", "value")
 
 
-def match_reporter(queries: DataFrame, values: DataFrame, most: int = DICTIONARY_MOST) -> DataFrame:
-    """(query_id, value) where one person alone is named, in full or by a last name of four letters or more."""
+def match_reporter(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """(query_id, value) where one person alone is named, in full or by a last name of four letters or more.
+
+    Each question's substrings, of the lengths that names have, meet the names by equality; persons with one name are one row, by
+    their first and last value, so neither questions nor persons are compared one by one.
+    """
     d = values.select("value", fold_query("value").alias("folded")).withColumn("last", F.element_at(F.split("folded", " "), -1))
-    named = F.col("folded_query").contains(F.col("folded"))
-    by_last = (F.length("last") >= 4) & F.regexp_like("folded_query", F.concat(F.lit(r"\b"), quoted("last"), F.lit(r"\b")))
-    hits = met(queries, d, named | by_last, most)
-    return hits.groupBy("query_id").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value")).where("n = 1").select("query_id", "value")
+    named = d.select("value", F.col("folded").alias("term"), F.lit(True).alias("whole")).union(d.where(F.length("last") >= 4).select("value", "last", F.lit(False)))
+    terms = named.groupBy("term", "whole").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    lengths = d.select(F.explode(F.array(F.length("folded"), F.length("last"))).alias("n")).agg(F.collect_set("n").alias("lengths"))
+    asked = queries.select("query_id", "folded_query").crossJoin(F.broadcast(lengths))  # one row, of at most as many as the longest name has letters
+    sized = asked.select("query_id", "folded_query", F.explode("lengths").alias("n")).where(F.length("folded_query") >= F.col("n"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("folded_query") - F.col("n") + 1), lambda i: F.substring(F.col("folded_query"), i, F.col("n"))))
+    hits = sized.select("query_id", "folded_query", F.explode(pieces).alias("term")).join(terms, "term")
+    alone = F.regexp_like("folded_query", F.concat(F.lit(r"\b"), quoted("term"), F.lit(r"\b")))
+    return hits.where(F.col("whole") | alone).groupBy("query_id").agg(F.min("lo").alias("value"), F.max("hi").alias("hi")).where("value = hi").select("query_id", "value")
 
 
 def match_date(query: Column, folded: Column) -> Column:
@@ -170,7 +179,7 @@ class StructuredRetriever:
         scalar = q.select("query_id", F.explode(F.array(F.struct(F.lit(r.chamber).alias("field"), match_chamber(F.col("folded_query"), r.chambers).alias("value")), F.struct(F.lit(r.date).alias("field"), match_date(F.col("query"), F.col("folded_query")).alias("value")))).alias("x")).select("query_id", "x.*").where("value is not null")
         by_acronym = match_acronym(q, self.entity_acronyms, specific(base_identity("component"), context, r.issuers), self.most)
         by_name = match_name(q, self.entities, context, r.issuers, self.most).where("n_identities = 1").select("query_id", "value").join(by_acronym, "query_id", "left_anti")
-        found = {r.process: match_process(q, self.processes, self.most), r.reporter: match_reporter(q, self.reporters, self.most), r.entity: by_acronym.union(by_name), r.unit: match_acronym(q, self.unit_acronyms, most=self.most)}
+        found = {r.process: match_process(q, self.processes, self.most), r.reporter: match_reporter(q, self.reporters), r.entity: by_acronym.union(by_name), r.unit: match_acronym(q, self.unit_acronyms, most=self.most)}
         return reduce(DataFrame.union, [scalar, *(d.select("query_id", F.lit(f).alias("field"), "value") for f, d in found.items())])
 
     def conditions(self, query: str) -> dict[str, str]:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,20 @@ def test_runs_publish_whole_sets(spark, retriever, tmp_path):
     with pytest.raises(judgment.JudgmentCapExceeded):
         runs.run_judgment(spark, results, pairs("d3"), pairs("d1"), retriever.corpus, tmp_path / "none", cap=2)
     assert not (tmp_path / "none").exists()
+
+
+def test_reporters_are_met_by_equal_names(spark):
+    """One person alone, by a whole name anywhere or a last name between word borders; no question meets each person."""
+    names = ["Ana Souza", "Bruno Lima", "Carla Lima", "Di Sá", "Eva (Melo)", "Ana Souza Reis", "supplier#01", "supplier#012"]
+    asked = ["relator ana souza", "lima", "bruno lima", "di sa", "sa", "eva (melo)", "melo", "xsouza", "souza.", "ana souza reis", "casana souzas", "supplier#012", "supplier#01", "", None]
+    values, queries = spark.createDataFrame([(n,) for n in names], "value string"), spark.createDataFrame(list(enumerate(asked)), "query_id int, folded_query string")
+    out = structured.match_reporter(queries, values)
+    want = {}
+    folded = {n: r["f"] for n in names for r in spark.createDataFrame([(n,)], "v string").select(structured.fold_query("v").alias("f")).collect()}
+    for i, q in enumerate(asked):
+        last = lambda f: f.split(" ")[-1]
+        hits = {n for n, f in folded.items() if q is not None and (f in q or len(last(f)) >= 4 and re.search(rf"\b{re.escape(last(f))}\b", q))}
+        if len(hits) == 1:
+            want[i] = hits.pop()
+    assert {r["query_id"]: r["value"] for r in out.collect()} == want and len(want) > 4
+    assert not re.search(r"NestedLoopJoin[^\n]*(?i:contains)", out._jdf.queryExecution().toString())
