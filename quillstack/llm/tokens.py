@@ -13,7 +13,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import count, islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -103,20 +107,24 @@ class DacFile:
         return out
 
 
-class _Units(dict):
-    """Gives each new key the next number."""
+def _units(known: Iterable[str | tuple[str]] = ()) -> dict:
+    """Gives each new key the next number, after those of the known ones."""
+    found = {k: i for i, k in enumerate(known)}
+    return defaultdict(count(len(found)).__next__, found)
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+
+def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat's runs of so many entries from each begin, in a row."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class UnitEncoder:
-    """Whole texts to ids through the tokenizers library, each distinct space-led unit encoded once.
+    """Whole texts to ids through the tokenizers library, each distinct unit encoded once.
 
-    The vocabulary's splitter always cuts before a single space that stands between two characters that are no
-    white space, so the ids of a text are those of its units in order. Other spaces are not cut at. The memo is
-    emptied when it has max_units entries; that changes no id.
+    The vocabulary's splitter always cuts before a single space or line end that stands between two characters that are no
+    white space, so the ids of a text are those of its units in order. Other white space is not cut at. When the memo has
+    max_units entries, the half that was met most stays; that changes no id.
     """
 
     def __init__(self, path: str, max_units: int = 400_000):
@@ -127,9 +135,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.lib, self.max_units = Tokenizer.from_file(path), max_units
-        # only for a byte-level BPE without other steps is a word of letters one call of the library's model
-        plain = isinstance(self.lib.model, models.BPE) and isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel) and self.lib.normalizer is None
-        self.model = self.lib.model if plain else None
+        # only for a byte-level BPE without other steps are words of letters the library's model alone
+        plain = isinstance(self.lib.model, models.BPE) and isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel) and self.lib.pre_tokenizer.use_regex and self.lib.normalizer is None
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the library's own letter for each byte that can stand in UTF-8
         shown = {i: split.pre_tokenize_str(chr(i))[0][0] for i in range(128)}
@@ -138,25 +145,55 @@ class UnitEncoder:
         for c in ("\u0800", "\u1000", "\u4000", "\u8000", "\uac00", "\uf000", "\U00010000", "\U00040000", "\U00080000", "\U000c0000", "\U00100000", *map(chr, range(0x0FC0, 0xD7C0, 0x1000))):
             shown |= dict(zip(c.encode(), split.pre_tokenize_str(c)[0][0], strict=True))
         self.shown = shown
-        self.tails = {c: self.lib.encode(c, add_special_tokens=False).ids for c in ",."}
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.joint = Tokenizer(self.lib.model) if plain and self._apart(vocab) else None
+        self.leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.leads[[i for t, i in vocab.items() if t[:1] in (shown[32], shown[10])]] = True
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.clear()
 
+    def _apart(self, vocab: dict[str, int]) -> bool:
+        """Whether no token can reach over the start of a word where words of letters, led by a space or line end each, stand in a row.
+        Then no merge does, and the model gives the row the ids of its words."""
+        model, byte = self.lib.model, {c: i for i, c in self.shown.items()}
+        if model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix or model.byte_fallback or model.ignore_merges:
+            return False
+        for token in vocab:
+            if self.shown[32] in token[1:] or self.shown[10] in token[1:] or token[:1] == self.shown[10] and len(token) > 1:
+                try:
+                    text = bytes(byte[c] for c in token).decode()
+                except (KeyError, UnicodeDecodeError):
+                    return False
+                if all(c.isalpha() or c in " \n" for c in text) and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
+                    return False
+        return all(self.shown[i] in vocab for i in (32, 10))
+
     def clear(self) -> None:
-        self.units, self.flat, self.sizes = _Units(), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        self.units, self.flat, self.sizes = _units(), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        self.uses = np.zeros(0, np.int64)
         self.known = 0
 
+    def _forget(self) -> None:
+        """Keep the units that were met most, half of the memo at most and none that was met once."""
+        flat, sizes = np.concatenate(self.flat), np.concatenate(self.sizes)
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.max_units // 2])
+        keep = keep[self.uses[keep] > 1]
+        names, begin = list(self.units), np.cumsum(sizes) - sizes
+        self.units = _units(names[i] for i in keep.tolist())
+        self.flat, self.sizes = [_runs(flat, begin[keep], sizes[keep])], [sizes[keep]]
+        self.uses, self.known = self.uses[keep] // 2, len(keep)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if len(self.units) > self.max_units:
-            self.clear()
+            self._forget()
         index, counts = [], np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            # without white space but spaces and line ends, and none beside another, every space is such a cut
-            plain = text.replace("\n", "").isprintable() and not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text)
-            pieces = text.split(" ") if plain else self.cut.split(text)
+            # without white space but spaces and line ends, and none beside another, every one is such a cut
+            plain = text.replace("\n", "").isprintable() and not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text)
+            pieces = text.replace("\n", " \n").split(" ") if plain else self.cut.split(text)
             if len(pieces) > 1:
                 # a text's first unit has no space before it; a tuple keeps the two kinds of key apart, whatever characters they hold
                 pieces[0] = (pieces[0],)
@@ -166,44 +203,64 @@ class UnitEncoder:
             index.append(got)
             counts[i] = len(got)
         if len(self.units) > self.known:
-            fresh = list(self.units)[self.known :]
-            ids = self._units_to_ids([k[0] if isinstance(k, tuple) else " " + k for k in fresh])
-            self.sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            self.flat.append(np.fromiter((x for one in ids for x in one), dtype=np.uint32))
+            fresh = list(islice(self.units, self.known, None))
+            # only a unit that a line end leads has no space before it
+            flat, sizes = self._units_to_ids([k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in fresh])
+            self.sizes.append(sizes)
+            self.flat.append(flat)
             self.known = len(self.units)
         flat, sizes = np.concatenate(self.flat), np.concatenate(self.sizes)
         self.flat, self.sizes = [flat], [sizes]
-        begin = np.cumsum(sizes) - sizes
         at = np.concatenate(index) if index else np.zeros(0, np.int64)
+        uses = np.bincount(at, minlength=self.known)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         n = sizes[at]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        total = np.concatenate([[0], ends])
+        total = np.concatenate([[0], np.cumsum(n)])
         bound = np.concatenate([[0], np.cumsum(counts)])
-        return out, total[bound[1:]] - total[bound[:-1]]
-
-
-    def _units_to_ids(self, units: list[str]) -> list[list[int]]:
-        """The library's ids of each unit. A run of letters, with the comma or stop after it, is cut without the splitter."""
-        out: list[list[int] | None] = [None] * len(units)
-        rest = []
-        for i, unit in enumerate(units):
-            word = unit[1:] if unit[:1] == " " else unit
-            tail = word[-1:]
-            if tail in self.tails:
-                word, head = word[:-1], unit[:-1]
-            else:
-                tail, head = "", unit
-            if self.model is None or not word.isalpha():
-                rest.append(i)
-                continue
-            if not head.isascii():
-                head = head.encode().decode("latin-1")
-            ids = [t.id for t in self.model.tokenize(head.translate(self.shown))]
-            out[i] = ids + self.tails[tail] if tail else ids
-        for i, done in zip(rest, self.lib.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = done.ids
-        return out
+        return _runs(flat, (np.cumsum(sizes) - sizes)[at], n), total[bound[1:]] - total[bound[:-1]]
+
+    def _units_to_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, number of ids of each). Words of letters are the model's, many in a row; ASCII signs after a word are
+        encoded by themselves, as the splitter has them, and other units whole."""
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        char = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
+        start, kind = np.cumsum(lengths) - lengths, _kinds()[char]
+        # one past the last character that is no sign, and whether all between the first and that one are letters
+        end = np.maximum.reduceat(np.where(kind == 2, 0, np.arange(1, len(char) + 1)), start)
+        letters = np.add.reduceat(kind == 1, start, dtype=np.int64) - (kind[start] == 1)
+        is_word = ((char[start] == 32) | (char[start] == 10)) & (end > start + 1) & (letters == end - start - 1) if self.joint else np.zeros(len(units), bool)
+        tails, whole = _units([""]), _units()
+        tail = np.zeros(len(units), dtype=np.int64)
+        for i in np.flatnonzero(is_word & (end < start + lengths)).tolist():
+            tail[i] = tails[units[i][end[i] - start[i] :]]
+        other = np.fromiter((whole[units[i]] for i in np.flatnonzero(~is_word).tolist()), dtype=np.int64)
+        flat, sizes = [], []
+        words = np.flatnonzero(is_word)
+        for k in range(0, len(words), 64):
+            own = words[k : k + 64]
+            row = _runs(char, start[own], end[own] - start[own]).tobytes().decode("utf-32-le")
+            row = row.encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.joint.encode_batch_fast([row], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            flat.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.leads[ids]), append=len(ids)))
+        for few in (tails, whole):
+            ids = [x.ids for x in self.lib.encode_batch_fast(list(few), add_special_tokens=False)]
+            flat.append(np.fromiter((x for one in ids for x in one), dtype=np.uint32))
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        flat, sizes = np.concatenate(flat), np.concatenate(sizes)
+        parts = np.c_[np.cumsum(is_word) - 1, len(words) + tail]
+        parts[~is_word, 0] = len(words) + len(tails) + other
+        n = sizes[parts]
+        return _runs(flat, (np.cumsum(sizes) - sizes)[parts].ravel(), n.ravel()), n.sum(axis=1)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of each character 1 for a letter, 2 for an ASCII sign, else 0."""
+    out = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=np.uint8, count=0x110000)
+    out[list(punctuation.encode())] = 2
+    return out
 
 
 _encoders: dict[str, UnitEncoder] = {}

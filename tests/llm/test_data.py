@@ -164,6 +164,30 @@ def test_zero_characters_after_a_space():
         assert ids.tolist() == library_once().encode(text, add_special_tokens=False).ids * 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abIL ,.'*$(\n\né日ǅªà²1\u2026®<|>")), max_size=40), max_size=12))
+def test_units_encode_like_the_library_while_the_memo_forgets(texts):
+    enc = tokens.UnitEncoder(tokens.default_tokenizer(), max_units=4)
+    for some in (texts, texts[::-1], ["ab a\nab, a", *texts]):
+        ids, counts = enc.encode(some)
+        want = [library_once().encode(t, add_special_tokens=False).ids for t in some]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_line_ends_make_no_units_of_their_own():
+    """Each word is encoded once, whatever stands before and after it, and words met often stay when the memo is full."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(3)) for _ in range(30)) for _ in range(30)]
+    enc = tokens.UnitEncoder(tokens.default_tokenizer(), max_units=100)
+    ids, _ = enc.encode(texts)
+    assert ids.tolist() == sum((library_once().encode(t, add_special_tokens=False).ids for t in texts), [])
+    assert len(enc.units) <= 3 * len(words)  # at a text's start, after a space, after a line end
+    enc.encode([" ".join(f"x{i}" for i in range(100))])
+    enc.encode(texts[:1])
+    assert enc.joint is not None and len(enc.units) <= 100 and sum(w in enc.units for w in words) >= 20
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=40))
 def test_tiling_is_greedy(item, text):
