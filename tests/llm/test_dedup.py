@@ -403,6 +403,21 @@ def test_families_of_like_lines_make_few_pairs(spark, monkeypatch):
     assert counts[2] < 6 * counts[0] and counts[2] < 8 * 800
 
 
+def test_lines_are_compared_without_their_texts_on_disk(spark, monkeypatch):
+    """When the wide rows are dealt out to their keys, no join has moved them before and the table of lines is gone."""
+    df = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten eleven twelve thirteen {i}") for i in range(30)], "doc_id long, text string")
+    steps, real, seen = linededup.LineDuplicates(df), linededup.cut, []
+
+    def cut(out, name="cut"):
+        if name == "every":
+            seen.append((out._jdf.queryExecution().optimizedPlan().toString().count("Join "), os.path.exists(steps.lines.written_at.removeprefix("file:"))))
+        return real(out, name)
+
+    monkeypatch.setattr(linededup, "cut", cut)
+    assert steps.every().count() == 30 * 29 // 2
+    assert seen == [(1, False)]
+
+
 @pytest.mark.parametrize("written", [linededup.WRITTEN, 7])
 def test_every_link_between_different_lines_is_counted(spark, monkeypatch, written):
     """Also links inside a class, where keys are dealt to several tasks and where different words have one character; copies of a line are one."""
