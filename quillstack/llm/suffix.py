@@ -210,28 +210,29 @@ def rotations(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
         order = np.argsort(rank)
 
 
-def merge(steps: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' transforms and where a new interval starts, after one refinement a step.
-
-    A step has each shard's Burrows-Wheeler transform over cyclic strings, whose symbols are so many preceding bytes. The
-    interleave starts unsorted, one shard after another; each iteration moves every position to the place its preceding
-    symbol gives it, keeping order among equal symbols. Afterwards positions are sorted by as many bytes as all steps'
-    symbols have, and those told apart differ within them.
+def merge(at: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms after one refinement a step, and where a new interval starts: of the rotations `at`, moved back.
+
+    A step has of each rotation, one shard's after another's in their order, the Burrows-Wheeler transform's symbol, which is so many
+    preceding bytes, and the rotation that starts there. The interleave starts unsorted, one shard after another; each iteration moves
+    every position to the place its preceding symbol gives it, keeping order among equal symbols. Afterwards positions are sorted by as
+    many bytes as all steps' symbols have, and those told apart differ within them. A position alone in its interval stays alone as it
+    moves back, and so is left out of what is returned and of what is sorted once there are many of these.
     """
-    sizes = np.array([len(t) for t in steps[0]])
-    z = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint16 if len(sizes) > 255 else np.uint8)
-    opened = np.zeros(int(sizes.sum()), bool)
+    opened = np.zeros(len(at), bool)
     opened[:1] = True
-    for transforms in steps:
-        joined = np.concatenate(transforms)
-        by_shard = np.concatenate([np.flatnonzero(z == i) for i in range(len(sizes))]) if len(sizes) < 9 else np.argsort(z, kind="stable")  # the k-th of a shard in the interleave has the k-th symbol of its transform
-        symbol = np.empty_like(joined)
-        symbol[by_shard] = joined
+    for symbols, back in steps:
+        if not len(at):
+            break
+        symbol = symbols[at]
         block = np.cumsum(opened, dtype=np.int32)
         to = np.argsort(symbol, kind="stable")
-        z, moved, s = z[to], block[to], symbol[to]
+        moved, s, at = block[to], symbol[to], back[at[to]]
         opened = np.r_[True, (s[1:] != s[:-1]) | (moved[1:] != moved[:-1])]
-    return z, opened
+        several = ~(opened & np.r_[opened[1:], True])
+        if 8 * np.count_nonzero(several) < 7 * len(at):
+            at, opened = at[several], opened[several]
+    return at, opened
 
 
 def repeats(strings: list[bytes], least: np.ndarray, depth: int = LENGTH, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
@@ -284,18 +285,25 @@ def repeats(strings: list[bytes], least: np.ndarray, depth: int = LENGTH, shard_
     named = [last.astype(np.uint16)]
     while len(named) < min(6, depth) and (more := longer(named[-1])) is not None:
         named.append(more)
-    symbols = lambda k: [named[k - 1][order] for order in orders]
+    order = np.concatenate(orders).astype(np.int32)
+    rank = np.empty(len(raw), np.int32)
+    rank[order] = np.arange(len(raw), dtype=np.int32)
+
+    def step(k: int) -> tuple[np.ndarray, np.ndarray]:
+        back = rank
+        for _ in range(k):
+            back = before(back)
+        return named[k - 1][order], back[order]
+
     k = len(named)
-    z, opened = merge([symbols(k)] * (depth // k) + ([symbols(depth % k)] if depth % k else []))
-    place = np.empty(len(raw), np.int64)
-    place[np.argsort(z, kind="stable")] = np.concatenate(orders)
-    own = np.repeat(np.arange(len(first)), size)[place]
-    whole = place - first[own] + depth < size[own]  # windows that end before the string does
-    ids = np.where(whole, least[own], _LAST)
-    starts = np.flatnonzero(opened)
-    low = np.minimum.reduceat(ids, starts)[np.cumsum(opened) - 1]
-    out = np.empty(len(raw), np.int64)
-    out[place] = low
+    # only rotations that end up at a window that is over before its string are merged: that start `depth` bytes behind one
+    own = np.repeat(np.arange(len(first)), size)
+    windows = np.flatnonzero((np.arange(len(raw)) - first[own] >= depth)[order]).astype(np.int32)
+    at, opened = merge(windows, [step(k)] * (depth // k) + ([step(depth % k)] if depth % k else []))
+    out = least[own]
+    if len(at):
+        place = order[at]
+        out[place] = np.minimum.reduceat(out[place], np.flatnonzero(opened))[np.cumsum(opened) - 1]
     return [out[a : a + n - depth] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
 
 

@@ -95,6 +95,24 @@ def test_merge_sorts_a_bucket_few_times(monkeypatch):
     assert [g.tolist() for g in got] == [[first[s[k : k + 50]] for k in range(len(s) - 49)] for s in strings]
 
 
+def test_merge_moves_only_windows_that_may_repeat(monkeypatch):
+    """Rotations that end at no whole window, and those already alone, are not sorted again in each iteration."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    strings = sorted({" ".join(rng.choice(words) for _ in range(14))[:70].encode() for _ in range(4000)})
+    strings += [s[5:65] for s in strings[:500]]
+    handed, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *more, **kw: handed.append(np.size(a)) or real(a, *more, **kw))
+    got = suffix.repeats(strings, np.arange(len(strings)))
+    monkeypatch.undo()
+    assert sum(handed) < 10 * sum(len(s) + 1 for s in strings)
+    first = {}
+    for i, s in enumerate(strings):
+        for k in range(len(s) - 49):
+            first.setdefault(s[k : k + 50], i)
+    assert [g.tolist() for g in got] == [[first[s[k : k + 50]] for k in range(len(s) - 49)] for s in strings]
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     a = {int(k): int(w) for k, w in zip(rng.integers(1, 1 << 40, 300), rng.integers(1, 40, 300), strict=True)}
