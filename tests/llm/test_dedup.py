@@ -467,3 +467,29 @@ def test_every_link_between_different_lines_is_counted(spark, monkeypatch, writt
     root = line_roots(known)
     near = [(x, y) for x in range(len(lines)) for y in range(x) if degree[lines[x]] and degree[lines[y]]]
     assert all((out[x]["classes"] == out[y]["classes"]) == (root[lines[x]] == root[lines[y]]) for x, y in near)
+
+
+def test_links_of_a_family_are_counted_without_a_row_for_each(spark, monkeypatch):
+    """Near copies of one line are all linked: each is compared with a centre, so links that are rows grow with the lines, and n_pairs has all."""
+    rng, n, real, rows = random.Random(12), 120, linededup.cut, []
+    base = [f"word{rng.randrange(900)}" for _ in range(64)]
+    lines = [" ".join(base)]
+    for i in range(n - 1):
+        own = list(base)
+        for at in rng.sample(range(64), rng.choice((1, 1, 2, 3))):
+            own[at] = f"new{i}at{at}"
+        lines.append(" ".join(own))
+    # some are too far from each other, though both are near the first
+    lines += [" ".join(f"far{i}at{at}" if at % 13 == i else w for at, w in enumerate(base)) for i in range(4)]
+
+    def cut(out, name="cut"):
+        held = real(out, name)
+        if "edits" in held.columns:
+            rows.append(held.count())
+        return held
+
+    monkeypatch.setattr(linededup, "cut", cut)
+    got = {r["doc_id"]: r["n_pairs"] for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    want = [sum(x != y and linked(x, y) is not None for y in lines) for x in lines]
+    assert [got[i] for i in range(len(lines))] == want
+    assert min(want[:n]) >= n - 1 > max(want[n:]) and rows and max(rows) < 6 * n < n * (n - 1) // 2
