@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstack.llm import linededup, neardup, suffix
+from quillstack.llm import common, graph, linededup, neardup, suffix
 from quillstack.llm.graph import components, least_labels
 
 SF = "/root/testdata/sf0.01"
@@ -421,6 +422,63 @@ def test_families_of_like_lines_make_few_pairs(spark, monkeypatch):
     assert counts[2] < 6 * counts[0] and counts[2] < 8 * 800
 
 
+def test_lines_within_their_limit_share_a_key_of_few(spark):
+    """Half of the segments are counted from either end, so t edits ask for about t * t / 2 places; lines share a key wherever their edits are."""
+    assert [len(linededup.shifts(t)) for t in range(1, 7)] == [2, 5, 8, 13, 18, 25]
+    rng, lines = random.Random(3), []
+    for n in (6, 11, 20, 25, 31, 40, 45, 50, 57, 60, 66, 79, 80, 101):
+        base = [f"some{rng.randrange(10**6)}" for _ in range(n)]
+        most = line_limit(1, n)
+        for made in range(24):
+            own, kind = list(base), made % 4
+            for j in range(most):
+                at = {0: 0, 1: len(own) - 1, 2: j * n // (most + 1), 3: rng.randrange(len(own))}[made // 4 % 4]
+                # inserted, deleted, changed or any of these
+                what = rng.randrange(3) if kind == 3 else kind
+                own[at : at + (what > 0)] = [] if what == 1 and len(own) > 2 else [f"new{made}at{j}"]
+            lines.append((n, " ".join(base), " ".join(own)))
+        lines += [(n, a, b) for (m, _, a), (o, _, b) in zip(lines[-24:], lines[-23:], strict=False) if m == o]
+    pairs = [(a, b) for _, a, b in lines if a != b and linked(a, b) is not None]
+    number = {x: i for i, x in enumerate(sorted({x for pair in pairs for x in pair}))}
+    df = spark.createDataFrame([(i, x, len(x)) for x, i in number.items()], "line_id long, line string, n int")
+    keys = {}
+    for r in linededup.line_keys(df).collect():
+        keys.setdefault(r["ref"] // 4, {}).setdefault(r["key"], set()).add(r["ref"] % 2)
+    assert len(pairs) > 200
+    for a, b in pairs:
+        x, y = keys[number[a]], keys[number[b]]
+        assert any(1 in x[k] | y[k] for k in x.keys() & y.keys()), (a, b)
+
+
+def test_lines_that_stand_once_are_not_moved(spark):
+    """Only lines that stand several times are gathered; each different line is still one."""
+    rows = [(i, f"a line of document {i}\nthe same in all\nthe same in {i % 3}\nabc") for i in range(9)]
+    steps = linededup.LineDuplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    lines = [r["line"] for r in steps.lines.collect()]
+    assert sorted(lines) == sorted({x for _, t in rows for x in t.split("\n") if len(x) >= 5})
+    assert {"the same in all", *(f"the same in {i}" for i in range(3))} <= {r["line"] for r in steps.copied.collect()}
+    assert steps.copied.count() < 6
+    assert steps.seen.count() == 36 and steps.seen.where("again").count() >= 27
+
+
+def test_line_dedup_leaves_no_shuffle_files(spark, monkeypatch):
+    """They go as each step is written, without waiting for the driver's collections."""
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (held.apply(i).getName() for i in range(held.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    for module in (linededup, graph, common):
+        monkeypatch.setattr(module, "cut", lambda df, name="cut": common.table(df, name))
+    before = files()
+    linededup.dedup_lines(spark.createDataFrame([(i, f"a line that is like others, but for its number {i}\nthe same in all") for i in range(20)], "doc_id long, text string"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_lines_are_compared_without_their_texts_on_disk(spark, monkeypatch):
     """When the wide rows are dealt out to their keys, no join has moved them before and the table of lines is gone."""
     df = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten eleven twelve thirteen {i}") for i in range(30)], "doc_id long, text string")
