@@ -450,6 +450,17 @@ def test_lines_within_their_limit_share_a_key_of_few(spark):
         assert any(1 in x[k] | y[k] for k in x.keys() & y.keys()), (a, b)
 
 
+def test_lines_that_share_several_keys_alike_meet_in_one(spark):
+    """Near copies share most of their segments: one key of two or three lines is enough, and every link is still found."""
+    words = [f"word{i}" for i in range(70)]
+    lines = [" ".join(f"{w}of{own}" if i != 69 - copy else f"new{copy}" for i, w in enumerate(words)) for own in range(4) for copy in range(2 + own % 2)]
+    steps = linededup.LineDuplicates(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    met = steps.met()
+    assert met.groupBy("line_id").count().agg(F.max("count")).first()[0] <= 4
+    assert met.select("line_id").distinct().count() == len(lines) == 10
+    assert steps.every().count() == 2 * 1 + 2 * 3
+
+
 def test_lines_that_stand_once_are_not_moved(spark):
     """Only lines that stand several times are gathered; each different line is still one."""
     rows = [(i, f"a line of document {i}\nthe same in all\nthe same in {i % 3}\nabc") for i in range(9)]
